@@ -13,6 +13,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.decontamination import leaks
+
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.simhash import near_duplicates
 
@@ -28,6 +34,7 @@ def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_benchmark_leaks,
         op5_simhash_near_duplicates,
         op7_mixing_sources,
     )
