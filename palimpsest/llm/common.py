@@ -66,5 +66,5 @@ def release(spark: SparkSession) -> None:
 
 
 def buckets(spark: SparkSession, rows: int, each: int) -> int:
-    """How many hash buckets hold about `each` rows each; at least one a core of shuffle parallelism."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+    """How many hash buckets hold about `each` rows each; at least some for each shuffle partition, that these fill evenly."""
+    return max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))

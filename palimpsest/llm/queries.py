@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import mixing
+from palimpsest.llm import mixing, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,13 +31,20 @@ def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return allotment(_table(spark, sf_dir, "documents"))
 
 
+def op8_substring_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.substrings import repeats
+
+    return repeats(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_benchmark_leaks,
         op5_simhash_near_duplicates,
         op7_mixing_sources,
+        op8_substring_repeats,
     )
 }
 
-ORACLES: dict[str, str] = {"op7_mixing_sources": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op7_mixing_sources": mixing.ORACLE, "op8_substring_repeats": substrings.ORACLE}
