@@ -19,6 +19,12 @@ def op1_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.language import languages
+
+    return languages(_table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.simhash import near_duplicates
 
@@ -41,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_benchmark_leaks,
+        op4_language_id,
         op5_simhash_near_duplicates,
         op7_mixing_sources,
         op8_substring_repeats,

@@ -260,3 +260,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     of_print = stage(rooted.join(least, "root").select("print", "component_id"), "members")
     unstage(first, found, roots, rooted, least)
     return printed.join(of_print, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, limit: int = MAX_BITS) -> DataFrame:
+    """The rows of docs, columns unchanged, without those whose component has a smaller id.
+
+    An id goes only if that holds for all rows that have it, so repeated rows of the kept id stay. Rows without an id stay.
+    """
+    found = near_duplicates(docs, doc_id, text, width, limit)
+    gone = found.groupBy("doc_id").agg(F.every(F.col("component_id") < F.col("doc_id")).alias("gone")).where("gone").select(F.col("doc_id").alias("__gone"))
+    return docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
