@@ -19,6 +19,12 @@ def op1_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.quality import scores
+
+    return scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.language import languages
 
@@ -47,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_benchmark_leaks,
+        op3_quality_scores,
         op4_language_id,
         op5_simhash_near_duplicates,
         op7_mixing_sources,
