@@ -8,29 +8,22 @@ whose parts were moved are found too. An item is found in a document if its tile
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
-from itertools import repeat
 
-import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from palimpsest.llm.seeds import Seeds, tokens
+
 #: Least tokens of a tile, least share of an item's tokens under tiles, and how many characters of benchmark text one pass carries.
 LEAST = 5
 COVERAGE = 0.5
 PASS_CHARS = 8_000_000
 
-_TOKEN = re.compile(r"[^\W_]+")
 _BASE, _PRIME = 1_000_003, (1 << 61) - 1
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-
-
-def tokens(text: str | None) -> list[str]:
-    return _TOKEN.findall(text.lower()) if text else []
 
 
 def _rolling(line: list[int], free: list[bool], length: int) -> list[tuple[int, int]]:
@@ -90,54 +83,21 @@ def tile(text: list[int], item: list[int], least: int = LEAST) -> list[tuple[int
 
 
 class Tiler:
-    """The items of one pass: vocabulary, seeds and token numbers."""
+    """The items of one pass."""
 
     def __init__(self, items: list[tuple[object, str | None]], least: int = LEAST, coverage: float = COVERAGE):
         self.least, self.coverage = least, coverage
-        self.vocabulary: dict[str, int] = {}
-        self.items: list[tuple[object, list[int]]] = []
-        seeds = defaultdict(set)
-        for name, text in items:
-            line = [self.vocabulary.setdefault(t, len(self.vocabulary) + 1) for t in tokens(text)]
-            if len(line) < least:
-                continue
-            for value in self._grams(np.array(line, np.uint64)):
-                seeds[int(value)].add(len(self.items))
-            self.items.append((name, line))
-        self.seeds = np.array(sorted(seeds), np.uint64)
-        self.of_seed = [sorted(seeds[int(s)]) for s in self.seeds]
-
-    def _grams(self, line: np.ndarray) -> np.ndarray:
-        value = np.zeros(max(0, len(line) - self.least + 1), np.uint64)
-        for k in range(self.least):
-            value = value * _STEP + line[k : k + len(value)]
-            value ^= value >> np.uint64(29)
-        return value
+        lines = [(name, tokens(text)) for name, text in items]
+        lines = [(name, line) for name, line in lines if len(line) >= least]
+        self.names = [name for name, _ in lines]
+        self.seeds = Seeds([line for _, line in lines], least)
 
     def matches(self, texts: list[str | None]) -> list[list[tuple[object, float, int, int]]]:
         """For each text the items found in it: (item, share covered, tiles, tokens covered), by item order."""
-        lines = [tokens(t) for t in texts]
-        out: list[list] = [[] for _ in lines]
-        if not len(self.seeds):
-            return out
-        starts = np.cumsum([0, *(len(x) + 1 for x in lines)])
-        joined = np.zeros(starts[-1] + self.least, np.uint64)  # a 0 ends each text
-        for at, line in zip(starts, lines, strict=False):
-            joined[at : at + len(line)] = np.fromiter(map(self.vocabulary.get, line, repeat(0)), np.uint64, len(line))
-        known = np.concatenate([[0], np.cumsum(joined != 0)])
-        places = np.nonzero(known[self.least :] - known[: -self.least] == self.least)[0]
-        value = np.zeros(len(places), np.uint64)
-        for k in range(self.least):
-            value = value * _STEP + joined[places + k]
-            value ^= value >> np.uint64(29)
-        which = np.minimum(np.searchsorted(self.seeds, value), len(self.seeds) - 1)
-        hit = self.seeds[which] == value
-        by_pair = defaultdict(list)
-        for at, seed, text in zip(places[hit].tolist(), which[hit].tolist(), (np.searchsorted(starts, places[hit], side="right") - 1).tolist(), strict=True):
-            for item in self.of_seed[seed]:
-                by_pair[text, item].append(at)
-        for (text, item), at in sorted(by_pair.items()):
-            name, line = self.items[item]
+        out: list[list] = [[] for _ in texts]
+        numbered, found = self.seeds.find([tokens(t) for t in texts])
+        for (text, item), at in sorted(found.items()):
+            line = self.seeds.patterns[item]
             if sum(min(self.least, y - x) for x, y in zip(at, [*at[1:], at[-1] + self.least], strict=True)) < self.coverage * len(line):
                 continue  # every tile lies within seeds, and these cover too little
             part: list[int] = []
@@ -145,12 +105,12 @@ class Tiler:
             for a in at:
                 if a > end:
                     part.append(0)
-                part += joined[max(a, end) : a + self.least].astype(np.int64).tolist()
+                part += numbered[text][max(a, end) : a + self.least].tolist()
                 end = a + self.least
             tiles = tile(part, line, self.least)
             covered = sum(n for _, _, n in tiles)
             if covered >= self.coverage * len(line):
-                out[text].append((name, covered / len(line), len(tiles), covered))
+                out[text].append((self.names[item], covered / len(line), len(tiles), covered))
         return out
 
 

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from palimpsest.llm import mixing, substrings
 
 
+#: Where the vocabulary of op6 is read from, on the driver only.
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,6 +42,12 @@ def op5_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str, model: str = TOKENIZER) -> DataFrame:
+    from palimpsest.llm.tokens import sentencepiece_pieces, token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"), sentencepiece_pieces(model))
+
+
 def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.mixing import allotment
 
@@ -50,6 +60,12 @@ def op8_substring_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(_table(spark, sf_dir, "documents"))
 
 
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.licences import licenses
+
+    return licenses(_table(spark, sf_dir, "documents"))
+
+
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.neighbours import neighbours
 
@@ -63,8 +79,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_quality_scores,
         op4_language_id,
         op5_simhash_near_duplicates,
+        op6_token_counts,
         op7_mixing_sources,
         op8_substring_repeats,
+        op9_license_scans,
         op10_nearest_neighbours,
     )
 }
