@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,8 +61,9 @@ def unstage(*frames: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Shuffle files go once both garbage collectors have seen that their plan is gone."""
+    """Shuffle files go once both garbage collectors have seen that their plan is gone; until then Spark's listeners still hold the last one."""
     gc.collect()
+    time.sleep(1)
     spark._jvm.System.gc()
 
 
