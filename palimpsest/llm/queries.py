@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import mixing, substrings
+from palimpsest.llm import mixing, substrings, warc
 
 
 #: Where the vocabulary of op6 is read from, on the driver only.
@@ -24,6 +24,12 @@ def op1_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.warc import round_trip
+
+    return round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op3_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.quality import scores
 
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_benchmark_leaks,
+        op2_warc_round_trip,
         op3_quality_scores,
         op4_language_id,
         op5_simhash_near_duplicates,
@@ -87,4 +94,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {"op7_mixing_sources": mixing.ORACLE, "op8_substring_repeats": substrings.ORACLE}
+ORACLES: dict[str, str] = {"op2_warc_round_trip": warc.ORACLE, "op7_mixing_sources": mixing.ORACLE, "op8_substring_repeats": substrings.ORACLE}
