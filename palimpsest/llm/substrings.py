@@ -3,7 +3,7 @@
 Reference blocks are the non-overlapping runs of 10 words of every text. Any 20 consecutive words hold one whole block of their own text, so
 a window that occurs twice has a block that some rolling window of 10 words of the other text equals. All rolling windows are probed
 against all blocks by hash, in buckets; what comes back is which blocks occur more than once. Around these anchors the hits are extended:
-each 20-word window that holds one is looked up by a hash of 160 bits, the first occurrence in order of (doc_id, start) stays, and the
+each 20-word window that holds one is looked up by a hash of 96 bits, the first occurrence in order of (doc_id, start) stays, and the
 windows that repeat it merge into maximal exact repeats.
 
 Each task sums up what it sends: of equal windows in one batch of documents one row goes out, so a passage that a third of all documents
@@ -31,8 +31,9 @@ BATCH_WORDS, BUCKET_ROWS = 1_000_000, 500_000
 
 _NO_ID = np.iinfo(np.int64).max
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
-_PLAIN, _PLACED = np.dtype("<u4"), np.dtype([("h", "<u4"), ("doc", "<i8"), ("tag", "<u4"), ("at", "<u4")])
-_SEEN = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("h3", "<u4"), ("doc", "<i8"), ("tag", "<u4"), ("at", "<u4")])
+#: Columns of what goes to the buckets, each packed by itself as ids in order compress well: hashes, ids, tags, places.
+_PLACED, _SEEN = ("<u4", "<i8", "<u4"), ("<u8", "<u4", "<i8", "<u4", "<u4")
+_RUN, _TO_BUCKETS = (pa.int64(), pa.int64(), pa.int32(), pa.int32()), ["bucket", "h1", "h2", "docs", "tags", "ats", "doc", "tag", "first", "last"]
 _KNOWN = np.uint32(1 << 31)
 
 
@@ -94,16 +95,16 @@ def _batched(batches: Iterator[pa.RecordBatch], extra: bool = False) -> Iterator
         yield held
 
 
-def _packed(bucket: np.ndarray, parts: list[np.ndarray]) -> dict[int, list[bytes]]:
-    """Of each part, ordered by bucket, the bytes of each bucket. bucket: for each part, the bucket of each row."""
-    out: dict[int, list[bytes]] = {}
-    for k, (which, rows) in enumerate(zip(bucket, parts, strict=True)):
-        order = np.argsort(which, kind="stable")
-        which, rows = which[order], rows[order]
-        found, first = np.unique(which, return_index=True)
-        for b, lo, hi in zip(found.tolist(), first, [*first[1:], len(which)], strict=True):
-            out.setdefault(b, [b""] * len(parts))[k] = rows[lo:hi].tobytes()
-    return out
+def _packed(bucket: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[list[bytes]]]:
+    """The buckets that occur, and of each column the bytes of each bucket, in the order of the rows."""
+    order = np.argsort(bucket, kind="stable")
+    found, first = np.unique(bucket[order], return_index=True)
+    ends = [*first[1:].tolist(), len(bucket)]
+    return found, [[x[lo:hi].tobytes() for lo, hi in zip(first.tolist(), ends, strict=True)] for x in (c[order] for c in columns)]
+
+
+def _unpacked(rows: list[list[bytes]], kinds: tuple[str, ...]) -> list[np.ndarray]:
+    return [np.frombuffer(b"".join(r[k] for r in rows), kind) for k, kind in enumerate(kinds)]
 
 
 def _blocks(many: int):
@@ -115,7 +116,6 @@ def _blocks(many: int):
             sizes = np.array([len(words) for _, words, _ in held])
             first = np.cumsum(sizes) - sizes
             docs = np.array([d for d, _, _ in held], np.int64)
-            tags = np.array([_tag(words) for _, words, _ in held], np.uint32)
             rolled = _windows(h, BLOCK, _M1)
             of = np.repeat(np.arange(len(sizes)), sizes)[: len(rolled)]
             at = np.arange(len(rolled)) - first[of]
@@ -127,16 +127,19 @@ def _blocks(many: int):
             group = np.cumsum(new) - 1
             several = (np.bincount(group) > 1)[group]
             block = at % BLOCK == 0
-            placed = np.zeros(int(block.sum()), _PLACED)
-            placed["h"], placed["doc"], placed["tag"] = (rolled[block] & np.uint64(0xFFFFFFFF)), docs[of[block]], tags[of[block]]
-            placed["at"] = at[block].astype(np.uint32) | np.where(several[block], _KNOWN, np.uint32(0))
+            bucket, low = (rolled >> np.uint64(32)) % np.uint64(many), (rolled & np.uint64(0xFFFFFFFF)).astype("<u4")
             plain = new & (several | ~block)
-            bucket = (rolled >> np.uint64(32)) % np.uint64(many)
-            packed = _packed([bucket[plain], bucket[block]], [(rolled[plain] & np.uint64(0xFFFFFFFF)).astype(_PLAIN), placed])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(packed), pa.int32()), pa.array([x[0] for x in packed.values()], pa.binary()), pa.array([x[1] for x in packed.values()], pa.binary())],
-                ["bucket", "plain", "placed"],
-            )
+            found, (hashes,) = _packed(bucket[plain], [low[plain]])
+            yield _columns(found, {"plain": hashes})
+            placed = np.nonzero(block)[0]
+            placed = placed[np.lexsort((at[placed], docs[of[placed]]))]
+            where = at[placed].astype("<u4") | np.where(several[placed], _KNOWN, np.uint32(0))
+            found, packed = _packed(bucket[placed], [low[placed], docs[of[placed]], where])
+            yield _columns(found, dict(zip(("h", "doc", "at"), packed, strict=True)))
+
+    def _columns(found: np.ndarray, given: dict[str, list[bytes]]) -> pa.RecordBatch:
+        names = ("plain", "h", "doc", "at")
+        return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), *(pa.array(given.get(n, [b""] * len(found)), pa.binary()) for n in names)], ["bucket", *names])
 
     return run
 
@@ -161,17 +164,13 @@ def _per_bucket(f: Callable[[list[list[bytes]]], Iterator[pa.RecordBatch]]):
 
 
 def _repeated_blocks(rows: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
-    placed = np.frombuffer(b"".join(r[1] for r in rows), _PLACED)
-    if not len(placed):
-        return
-    known = placed["at"] >= _KNOWN
+    plain, h, doc, at = _unpacked(rows, ("<u4", *_PLACED))
+    known = at >= _KNOWN
     # a block that its own batch knows to occur twice is among the plain ones
-    every = np.sort(np.concatenate([np.frombuffer(b"".join(r[0] for r in rows), _PLAIN), placed["h"][~known]]))
-    times = np.searchsorted(every, placed["h"], side="right") - np.searchsorted(every, placed["h"], side="left")
-    hit = placed[known | (times > 1)]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.ascontiguousarray(hit["doc"])), pa.array(hit["tag"].astype(np.int64)), pa.array((hit["at"] & ~_KNOWN).astype(np.int32))], ["doc", "tag", "at"]
-    )
+    every = np.sort(np.concatenate([plain, h[~known]]))
+    times = np.searchsorted(every, h, side="right") - np.searchsorted(every, h, side="left")
+    hit = known | (times > 1)
+    yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array((at[hit] & ~_KNOWN).astype(np.int32))], ["doc", "at"])
 
 
 def _runs(doc: np.ndarray, tag: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
@@ -215,46 +214,38 @@ def _candidates(many: int):
                 np.add.at(near, base + np.maximum(hits - (WINDOW - BLOCK), 0), 1)
                 np.add.at(near, base + np.minimum(hits, n - WINDOW) + 1, -1)
             places = np.nonzero(np.cumsum(near[:-1]) > 0)[0]
-            h1, h2 = _windows(ha, WINDOW, _M1)[places], _windows(hb, WINDOW, _M2)[places]
-            h3 = (_windows(ha ^ hb, WINDOW, _M3)[places] >> np.uint64(32)).astype(np.uint32)
+            h1 = _windows(ha, WINDOW, _M1)[places]
+            h2 = (_windows(hb, WINDOW, _M2)[places] >> np.uint64(32)).astype(np.uint32)
             of = np.searchsorted(first, places, side="right") - 1
             doc, tag, at = docs[of], tags[of], (places - first[of]).astype(np.uint32)
-            order, new, later = _later((h1, h2, h3), doc, tag, at)
+            order, new, later = _later((h1, h2), doc, tag, at)
             same = np.zeros(len(order), bool)
             for k, x in enumerate((doc, tag, at)):
                 x = x[order]
                 same[1:] = (x[1:] == x[:-1]) & (same[1:] if k else ~new[1:])
-            sent = order[(new | ~later) & ~same]
-            rows = np.zeros(len(sent), _SEEN)
-            for name, x in (("h1", h1), ("h2", h2), ("h3", h3), ("doc", doc), ("tag", tag), ("at", at)):
-                rows[name] = x[sent]
-            packed = _packed([rows["h1"] % np.uint64(many)], [rows])
+            sent = np.sort(order[(new | ~later) & ~same])
+            found, packed = _packed(h1[sent] % np.uint64(many), [x[sent].astype(kind) for x, kind in zip((h1, h2, doc, tag, at), _SEEN, strict=True)])
+            n = len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), *(pa.array(x, pa.binary()) for x in packed), *(pa.nulls(n, t) for t in _RUN)], _TO_BUCKETS)
             marks = np.sort(order[later])
             marks = marks[np.lexsort((at[marks], tag[marks], doc[marks]))]
             runs = _runs(doc[marks], tag[marks], at[marks])
-            n, m = len(packed), runs.num_rows
-            nulls = lambda k, kind: pa.nulls(k, kind)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(packed), pa.int32()), pa.array([x[0] for x in packed.values()], pa.binary())] + [nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32())],
-                ["bucket", "seen", "doc", "tag", "first", "last"],
-            )
             # runs go to any bucket, and through it
-            yield pa.RecordBatch.from_arrays([pa.array((runs.column(0).to_numpy() % many).astype(np.int32)), nulls(m, pa.binary()), *runs.columns], ["bucket", "seen", "doc", "tag", "first", "last"])
+            m = runs.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array((runs.column(0).to_numpy() % many).astype(np.int32)), *(pa.nulls(m, pa.binary()) for _ in _SEEN), *runs.columns], _TO_BUCKETS)
 
     return run
 
 
 def _repeats(rows: list[list]) -> Iterator[pa.RecordBatch]:
-    local = [r[1:] for r in rows if r[0] is None]
+    local = [r[len(_SEEN) :] for r in rows if r[0] is None]
     if local:
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*local, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc", "tag", "first", "last"])
-    seen = np.frombuffer(b"".join(r[0] for r in rows if r[0] is not None), _SEEN)
-    if len(seen):
-        doc, tag, at = seen["doc"], seen["tag"], seen["at"]
-        order, _, later = _later((seen["h1"], seen["h2"], seen["h3"]), doc, tag, at)
-        marks = order[later]
-        marks = marks[np.lexsort((at[marks], tag[marks], doc[marks]))]
-        yield _runs(doc[marks], tag[marks], at[marks])
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*local, strict=True), _RUN, strict=True)], ["doc", "tag", "first", "last"])
+    h1, h2, doc, tag, at = _unpacked([r for r in rows if r[0] is not None], _SEEN)
+    order, _, later = _later((h1, h2), doc, tag, at)
+    marks = order[later]
+    marks = marks[np.lexsort((at[marks], tag[marks], doc[marks]))]
+    yield _runs(doc[marks], tag[marks], at[marks])
 
 
 def covered(n: int, runs: list[tuple[int, int]]) -> np.ndarray:
@@ -283,16 +274,14 @@ def _repeat_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     leader = stage(measured.where(F.col("n_words") >= WINDOW).groupBy("sha256").agg(F.min(F.coalesce("doc_id", F.lit(int(_NO_ID)))).alias("leader"), F.count("*").alias("n")).where("n > 1").select("sha256", "leader"), "leaders")
     known = stage(measured.join(leader, "sha256", "left").select("doc_id", "tag", "n_words", "sha256", F.coalesce(F.coalesce("doc_id", F.lit(int(_NO_ID))) > F.col("leader"), F.lit(False)).alias("copy")), "known")
     unstage(measured, leader)
-    probed = docs.mapInArrow(_blocks(many), "bucket int, plain binary, placed binary").repartition("bucket").sortWithinPartitions("bucket")
-    hits = stage(probed.mapInArrow(_per_bucket(_repeated_blocks), "doc long, tag long, at int"), "hits")
+    probed = docs.mapInArrow(_blocks(many), "bucket int, plain binary, h binary, doc binary, at binary").repartition("bucket").sortWithinPartitions("bucket")
+    hits = stage(probed.mapInArrow(_per_bucket(_repeated_blocks), "doc long, at int"), "hits")
     release(spark)
-    by_doc = hits.groupBy("doc", "tag").agg(F.collect_set("at").alias("hits"))
-    copies = known.where("copy").select(F.coalesce("doc_id", F.lit(int(_NO_ID))).alias("doc"), "tag").distinct()
-    by_doc = stage(by_doc.join(copies, ["doc", "tag"], "left_anti"), "hits")
+    # texts that share an id share hits: these only say where to look
+    copies = known.groupBy(F.coalesce("doc_id", F.lit(int(_NO_ID))).alias("doc")).agg(F.every("copy").alias("copy")).where("copy")
+    by_doc = stage(hits.groupBy("doc").agg(F.collect_set("at").alias("hits")).join(copies, "doc", "left_anti"), "hits")
     texts = docs.select(F.coalesce("doc_id", F.lit(int(_NO_ID))).alias("doc"), "text")
-    # a text of another tag under the same id has other hits: its windows are judged all the same, as hits only say where to look
-    whole = by_doc.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"))
-    extended = texts.join(whole, "doc").select("doc", "text", "hits").mapInArrow(_candidates(many), "bucket int, seen binary, doc long, tag long, first int, last int")
+    extended = texts.join(by_doc, "doc").select("doc", "text", "hits").mapInArrow(_candidates(many), "bucket int, h1 binary, h2 binary, docs binary, tags binary, ats binary, doc long, tag long, first int, last int")
     runs = extended.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_per_bucket(_repeats), "doc long, tag long, first int, last int")
     runs = stage(runs.groupBy("doc", "tag").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "runs")
     unstage(hits, by_doc)
