@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib.util
+import re
 from collections.abc import Callable, Iterable, Sequence
 from functools import lru_cache
 from typing import Protocol, runtime_checkable
@@ -86,6 +87,25 @@ def trim_possessive(span: Column) -> Column:
     return F.regexp_replace(span, "(?s)(?<=.)(?:" + "|".join(POSSESSIVES) + r")\z", "")
 
 
+def any_of(words: Sequence[str]) -> str:
+    """A pattern for any of some words, longest first, that shares what they begin with, so that a scan gives up early."""
+    if not words:
+        return r"(?!)"
+
+    def branch(some: list[str]) -> str:
+        ends, by_first = "" in some, {}
+        for w in some:
+            if w:
+                by_first.setdefault(w[0], []).append(w[1:])
+        parts = [re.escape(c) + branch(rest) for c, rest in sorted(by_first.items())]
+        if not parts:
+            return ""
+        body = parts[0] if len(parts) == 1 and not ends else "(?:" + "|".join(parts) + ")"
+        return body + "?" * ends
+
+    return f"(?=[{''.join(sorted({re.escape(w[0]) for w in words}))}]){branch(sorted(set(words)))}"
+
+
 class GazetteerDetector:
     """The default recogniser of names and places: capitalised words after a form of address or led by a known first name, and known cities.
 
@@ -106,11 +126,10 @@ class GazetteerDetector:
     def __init__(self, names: Sequence[str] = tuple(NAMES), cities: Sequence[str] = tuple(CITIES), name: str = "ner.gazetteer"):
         self.name = name
         tail = r"(?: [A-Z][a-z]+)?(?:'s|’s)?"
-        known = "|".join(sorted(names, key=lambda x: (-len(x), x)))
-        self.person = rf"(?U)(?:(?<=\b(?:Mr|Mrs|Ms|Dr|Shri|Smt)\.? )[A-Z][a-z]+{tail}|\b(?:{known})\b{tail})"
-        self.place = rf"(?U)\b(?:{'|'.join(sorted(cities, key=lambda x: (-len(x), x)))})\b(?:'s|’s)?"
-        self.people_guard = rf"\b(?:Mr|Mrs|Ms|Dr|Shri|Smt)\b|{known}"
-        self.place_guard = "|".join(cities)
+        known, forms = any_of(names), any_of(("Mr", "Mrs", "Ms", "Dr", "Shri", "Smt"))
+        self.person = rf"(?U)(?=[A-Z])(?:(?<=\b(?:Mr|Mrs|Ms|Dr|Shri|Smt)\.? )[A-Z][a-z]+{tail}|\b{known}\b{tail})"
+        self.place = rf"(?U)(?=[A-Z])\b{any_of(cities)}\b(?:'s|’s)?"
+        self.people_guard, self.place_guard = rf"(?=[A-Z])(?:{forms}|{known})\b", any_of(cities)
 
     def spans(self, text: Column) -> Column:
         people = scan(text, self.person, text.rlike(self.people_guard), "PERSON", self.CONFIDENCE, self.name)
