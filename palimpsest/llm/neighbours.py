@@ -33,7 +33,7 @@ def rotated(x: np.ndarray, table: int, seed: int = SEED) -> np.ndarray:
         y *= rng.choice((-1.0, 1.0), width)
         half = 1
         while half < width:  # butterflies of the Hadamard transform
-            z = y.reshape(len(y), -1, 2, half)
+            z = y.reshape(len(y), width // (2 * half), 2, half)
             y = np.stack([z[:, :, 0] + z[:, :, 1], z[:, :, 0] - z[:, :, 1]], axis=2).reshape(len(y), width)
             half *= 2
         y /= np.sqrt(width)
@@ -43,7 +43,7 @@ def rotated(x: np.ndarray, table: int, seed: int = SEED) -> np.ndarray:
 def axes(x: np.ndarray, table: int, many: int, seed: int = SEED) -> np.ndarray:
     """The `many` nearest signed axes of each row, nearest first: 2 * axis, and one more for the negative end."""
     y = rotated(x, table, seed)
-    ends = np.stack([y, -y], axis=2).reshape(len(y), -1)
+    ends = np.stack([y, -y], axis=2).reshape(len(y), 2 * y.shape[1])
     if many == 1:
         return ends.argmax(axis=1)[:, None]
     if many >= ends.shape[1]:

@@ -1,0 +1,161 @@
+"""SimHash near-duplicates, components and substring repeats against brute force."""
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from palimpsest.llm import components, simhash, substrings
+
+
+def reachable(nodes, edges):
+    parent = {n: n for n in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def test_components(spark):
+    rnd = random.Random(4)
+    edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(rnd.randint(200, 400), rnd.randint(200, 400)) for _ in range(120)] + [(5, 5), (1, 0)]
+    got = {r["node"]: r["root"] for r in components.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = reachable({x for e in edges for x in e}, edges)
+    assert got == {n: r for n, r in want.items() if n != r}
+    assert components.connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_fingerprint_is_sparks_hash(spark):
+    text = "One two\tTHREE  four\nfive é ä"
+    words = text.encode().lower().split()
+    shingles = [b" ".join(words[k : k + 3]).decode() for k in range(len(words) - 2)]
+    hashes = [r[0] for r in spark.createDataFrame([(s,) for s in shingles], "s string").select(F.xxhash64("s")).collect()]
+    bits = sum(1 << b for b in range(64) if 2 * sum((h >> b) & 1 for h in hashes) > len(hashes))
+    assert simhash.fingerprint(text) % (1 << 64) == bits
+    assert simhash.fingerprint("") == simhash.fingerprint(None) == simhash.fingerprint(" \n") == 0
+    assert simhash.fingerprint("a b") == simhash.fingerprint("A\tB") != 0
+
+
+def test_keys_meet_within_three_bits():
+    rng = np.random.default_rng(5)
+    x = rng.integers(-(2**63), 2**63 - 1, 400)
+    y = np.array([int(np.bitwise_xor.reduce(np.array([v] + [np.int64(np.uint64(1 << int(b)).view(np.int64)) for b in rng.choice(64, k % 4, replace=False)]))) for k, v in enumerate(x)])
+    index, at, _, _ = simhash.keys_of(x)
+    _, _, probe, row = simhash.keys_of(y)
+    for k in range(len(x)):
+        assert set(index[at == k]) & set(probe[row == k])
+
+
+def brute_components(rows):
+    prints = [simhash.fingerprint(t) for _, t in rows]
+    edges = [(i, j) for i in range(len(rows)) for j in range(i) if bin((prints[i] ^ prints[j]) % (1 << 64)).count("1") <= 3]
+    roots = reachable(range(len(rows)), edges)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[roots[k]] = min(least.get(roots[k], i), i)
+    return sorted(((i, f"{p % (1 << 64):016x}", least.get(roots[k])) for k, ((i, _), p) in enumerate(zip(rows, prints, strict=True))), key=str)
+
+
+def test_near_duplicates(spark, odd, words):
+    rnd = random.Random(6)
+    texts = []
+    for k in range(25):
+        base = words(rnd.randint(40, 400), k)
+        texts.append(" ".join(base))
+        for _ in range(rnd.randint(0, 6)):
+            near = list(base)
+            near[rnd.randrange(len(near))] = "changed"
+            texts.append(" ".join(near))
+    texts += ["", None, " ", "one", "One", "a b", texts[0], texts[0], " ".join(words(20000, 99))]
+    ids = [1000 - k for k in range(len(texts))]
+    ids[3] = None
+    rows = list(zip(ids, texts, strict=True)) + [(ids[0], texts[0])]
+    docs = odd([t for _, t in rows], [i for i, _ in rows])
+    got = sorted((tuple(r) for r in simhash.near_duplicates(docs).collect()), key=str)
+    assert got == brute_components(rows)
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    gone = {i for i, _, c in got if i is not None and c < i}
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(i) for i, _ in rows if i not in gone)
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
+    alone = odd(["same text here", "same text here"], [None, None])
+    assert [r["component_id"] for r in simhash.near_duplicates(alone).collect()] == [None, None]
+
+
+@pytest.mark.parametrize("hot_keys", [10_000, 0])
+def test_crowded_keys_are_dealt_out(spark, hot_keys):
+    """Blocks of two: every key of a near group is hot, by closure and by join; nothing is lost."""
+    rng = np.random.default_rng(7)
+    base = int(rng.integers(-(2**62), 2**62))
+    prints = sorted({base ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 60, (60, 2))} | {int(v) for v in rng.integers(-(2**62), 2**62, 40)})
+    found = simhash.links(spark.createDataFrame([(p,) for p in prints], "print long"), block=2, hot_keys=hot_keys)
+    got = reachable(prints, [tuple(r) for r in found.collect()])
+    want = reachable(prints, [(a, b) for a in prints for b in prints if a < b and bin((a ^ b) % (1 << 64)).count("1") <= 3])
+    assert got == want
+    with pytest.raises(ValueError):
+        simhash.links(found.select(F.col("a").alias("print")), 4)
+
+
+def brute_repeats(rows):
+    first = {}
+    ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    lines = [(i, (t or "").encode().split()) for i, t in ordered]
+    for i, w in lines:
+        for p in range(len(w) - 19):
+            first.setdefault(tuple(w[p : p + 20]), (i, p))
+    out = []
+    for i, w in lines:
+        gone = [False] * len(w)
+        for p in range(len(w) - 19):
+            if first[tuple(w[p : p + 20])] != (i, p):
+                gone[p : p + 20] = [True] * 20
+        kept = b" ".join(x for x, g in zip(w, gone, strict=True) if not g)
+        out.append((i, len(w), sum(gone), hashlib.sha256(kept).hexdigest(), kept.decode()))
+    return out
+
+
+@pytest.mark.parametrize("batch", [60, 100_000])
+def test_substring_repeats(spark, odd, words, batch, monkeypatch):
+    monkeypatch.setattr(substrings, "BATCH_WORDS", batch)
+    rnd = random.Random(8)
+    passages = [words(n, 50 + n) for n in (19, 20, 21, 29, 35, 80)]
+    texts = []
+    for k in range(40):
+        line = words(rnd.randint(0, 60), k)
+        for _ in range(rnd.randint(0, 3)):
+            at = rnd.randint(0, len(line))
+            line = line[:at] + rnd.choice(passages) + line[at:]
+        texts.append("  ".join(line))
+    texts += [None, "", texts[5], texts[5], "x " * 60, "x " * 19, " ".join(words(20000, 3) + passages[5])]
+    ids = list(range(len(texts)))
+    rnd.shuffle(ids)
+    ids[7] = None
+    rows = list(zip(ids, texts, strict=True))
+    docs = odd(texts, ids)
+    want = brute_repeats(rows)
+    got = substrings.repeats(docs)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted((w[:4] for w in want), key=str)
+    cut = substrings.without_repeats(docs)
+    assert cut.columns == docs.columns
+    raw = dict(rows)
+    expected = {i: (raw[i] if not removed else kept) for i, _, removed, _, kept in want if not (removed and not kept)}
+    assert {r["doc_id"]: r["text"] for r in cut.collect()} == expected
+    assert substrings.repeats(docs.limit(0)).count() == 0 and substrings.without_repeats(docs.limit(0)).count() == 0
+
+
+def test_rows_of_one_id(spark, odd, words):
+    """Repeated rows of an id and its text are one document; another text under that id is judged by its own words."""
+    text, other = " ".join(words(30, 1)), " ".join(words(40, 2))
+    rows = [(5, text), (5, text), (5, other), (9, text + " " + other)]
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substrings.repeats(odd([t for _, t in rows], [i for i, _ in rows])).collect())
+    assert got == [(5, 30, 0), (5, 30, 0), (5, 40, 0), (9, 70, 70)]
