@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_LIBC = ctypes.CDLL(None)
+
 #: Words are runs of anything but the six ASCII white-space characters. bytes.split() cuts UTF-8 at the same places.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 WORD_SPACE = " \t\n\x0b\x0c\r"
@@ -60,6 +64,21 @@ def unstage(*frames: DataFrame) -> None:
         release(frames[0].sparkSession)
 
 
+def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Rows of documents are long: let Spark close an Arrow batch at some MB, not at so many rows, so that a worker's memory is bounded."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(key).removesuffix("b"))
+    if now <= 0 or now > most:
+        spark.conf.set(key, f"{most}b")
+
+
+def trim() -> None:
+    """Give memory that a finished task has freed back to the system: its worker process lives on, and so would the memory."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def release(spark: SparkSession) -> None:
     """Shuffle files go once both garbage collectors have seen that their plan is gone; until then Spark's listeners still hold the last one."""
     gc.collect()

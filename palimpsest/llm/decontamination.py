@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from palimpsest.llm.common import bounded_batches
 from palimpsest.llm.seeds import Seeds, tokens
 
 #: Least tokens of a tile, least share of an item's tokens under tiles, and how many characters of benchmark text one pass carries.
@@ -133,6 +134,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     Null and empty texts hold no items. Null items and those of fewer than `least` tokens are never found. Repeated items are each found.
     An empty benchmark gives empty arrays.
     """
+    bounded_batches(docs.sparkSession)
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = max(1, -(-chars // pass_chars))
@@ -151,7 +153,8 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
     """A row for each benchmark item found in a row of docs: (doc_id, item_id, coverage, tiles, tokens). Documents without leaks have no row."""
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(how.pop("text", "text")).alias("text"))
-    return with_leaks(plain, benchmark, **how).select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+    found = with_leaks(plain, benchmark, **how).select("doc_id", F.explode_outer("leaks").alias("leak"))  # a plain explode makes Spark look for leaks twice
+    return found.where("leak is not null").select("doc_id", "leak.*")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import encode
+from palimpsest.llm.common import bounded_batches, encode
 
 #: Units each way, bytes of a chunk when scoring and when learning, chunks at once.
 UNITS, CHUNK, LEARN_CHUNK, AT_ONCE = 8, 128, 64, 1024
@@ -246,6 +246,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
 def with_language(docs: DataFrame, net: Network | None, text: str = "text", name: str = "language") -> DataFrame:
     """docs plus a column `name` of struct<lang, score>."""
+    bounded_batches(docs.sparkSession)
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64())])
 
     @F.arrow_udf("struct<lang:string,score:double>")

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import bounded_batches
 from palimpsest.llm.seeds import Seeds, tokens
 
 #: Words of a seed, least coverage, and how many times the template's length a match may stretch over.
@@ -156,6 +157,7 @@ def licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templa
     Words are lower-cased runs of letters and digits, numbered from 0. Null and empty texts, and texts without licenses, have no row.
     Repeated rows are each reported; other columns are ignored. Templates of fewer than three words are never found.
     """
+    bounded_batches(docs.sparkSession)
     scanner = Scanner(templates, coverage)
     kind = pa.list_(pa.struct([("license", pa.string()), ("template", pa.string()), ("coverage", pa.float64()), ("words", pa.int32()), ("first_word", pa.int32()), ("last_word", pa.int32())]))
 

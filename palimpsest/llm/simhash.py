@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import encode, release, stage, unstage
+from palimpsest.llm.common import bounded_batches, encode, release, stage, unstage
 from palimpsest.llm.components import connected
 
 #: XXH64's seed as Spark uses it, the Golay generator polynomial x^11+x^10+x^6+x^5+x^4+x^2+1, the segments as (shift, bits).
@@ -60,6 +60,8 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerprint", width: int = 3) -> DataFrame:
     """docs plus a long column `name`. Null texts have fingerprint 0, as empty ones do."""
 
+    bounded_batches(docs.sparkSession)
+
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: fingerprint(t, width)).astype("int64")

@@ -20,14 +20,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from palimpsest.llm.common import buckets, encode, release, stage, unstage
+from palimpsest.llm.common import bounded_batches, buckets, encode, release, stage, trim, unstage
 
 #: Words of a window and of a block; window >= 2 * block - 1.
 WINDOW, BLOCK = 20, 10
 #: Words of a batch, and windows that a bucket should hold.
-BATCH_WORDS, BUCKET_ROWS = 1_000_000, 500_000
+BATCH_WORDS, BUCKET_ROWS = 150_000, 500_000
 
 _NO_ID = np.iinfo(np.int64).max
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
@@ -93,6 +92,8 @@ def _batched(batches: Iterator[pa.RecordBatch], extra: bool = False) -> Iterator
                     held, size = [], 0
     if held:
         yield held
+    del held
+    trim()
 
 
 def _packed(bucket: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[list[bytes]]]:
@@ -159,6 +160,8 @@ def _per_bucket(f: Callable[[list[list[bytes]]], Iterator[pa.RecordBatch]]):
                 held.append(rest)
         if held:
             yield from f(held)
+            del held
+        trim()
 
     return run
 
@@ -268,6 +271,7 @@ def _repeat_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     copy: the same words are a whole document of a smaller id. Such a document needs no runs: all its windows start earlier elsewhere.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     measured = stage(docs.mapInArrow(_measured, "doc_id long, tag long, n_words long, sha256 string"), "measured")
     total = measured.agg(F.sum("n_words")).first()[0] or 0
     many = buckets(spark, total, BUCKET_ROWS)
@@ -324,16 +328,24 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     return cut.unionByName(copied).unionByName(whole.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha256").alias("kept_sha256")))
 
 
-@F.arrow_udf(StringType())
-def _shortened(texts: pa.Array, of: pa.Array) -> pa.Array:
-    out = []
-    for text, found in zip(texts.to_pylist(), of.to_pylist(), strict=True):
-        if found:
-            words = words_of(text)
-            if runs := _own_runs(words, found):
-                text = b" ".join(_kept(words, runs)).decode("utf-8", "surrogatepass")
-        out.append(text)
-    return pa.array(out, pa.string())
+def _shortened(at: int):
+    """Rows with the runs of their id as last column -> the same rows without it, the text at column `at` cut; rows of which nothing is left are dropped."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, keep = batch.column(at).to_pylist(), []
+            for k, of in enumerate(batch.columns[-1].to_pylist()):
+                words = words_of(texts[k]) if of else []
+                runs = _own_runs(words, of) if of else []
+                if runs:
+                    texts[k] = b" ".join(_kept(words, runs)).decode("utf-8", "surrogatepass")
+                keep.append(not runs or bool(texts[k]))
+            columns = batch.columns[:-1]
+            columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
+        trim()
+
+    return run
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -345,8 +357,8 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(int(_NO_ID)))
     copies = known.where("copy").select(F.coalesce("doc_id", F.lit(int(_NO_ID))).alias("doc"), "tag", F.array(F.struct(F.lit(0).alias("first"), (F.col("n_words") - WINDOW).cast("int").alias("last"))).alias("runs"))
     of = runs.unionByName(copies.distinct()).groupBy("doc").agg(F.collect_list(F.struct("tag", "runs")).alias("__of")).withColumnRenamed("doc", "__doc")
-    cut = docs.withColumn("__key", key).join(of, F.col("__key") == F.col("__doc"), "left").withColumn("__cut", _shortened(F.col(text), F.col("__of")))
-    return cut.where(F.col("__of").isNull() | (F.col("__cut") != "") | (F.col(text) == "")).withColumn(text, F.col("__cut")).drop("__key", "__doc", "__of", "__cut")
+    joined = docs.withColumn("__key", key).join(of, F.col("__key") == F.col("__doc"), "left").select(*docs.columns, "__of")
+    return joined.mapInArrow(_shortened(docs.columns.index(text)), docs.schema)
 
 
 ORACLE = r"""

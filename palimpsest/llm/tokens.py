@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import encode
+from palimpsest.llm.common import bounded_batches, encode
 
 #: A vocabulary travels with the tasks, so its size is bounded. Word lengths remembered by a task.
 MOST_PIECES, REMEMBERED = 2_000_000, 200_000
@@ -118,6 +118,7 @@ def token_counts(docs: DataFrame, pieces: Iterable[str], doc_id: str = "doc_id",
     Words are runs of anything but ASCII white space. Null and empty texts have no words. Repeated rows count alike; an empty table gives
     no rows; other columns are ignored. An empty vocabulary counts UTF-8 bytes.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Automaton(pieces, mark))
 
     @F.arrow_udf("struct<n_words:long,n_tokens:long>")
