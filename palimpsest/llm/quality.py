@@ -16,15 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import encode
+from palimpsest.llm.common import bounded_batches, encode
 from palimpsest.llm.language import remainder
 
 #: Dimensions of a byte, bytes under a filter, filters; bytes of a chunk and from one chunk's start to the next's; chunks at once.
 DIM, WIDTH, FILTERS = 4, 8, 16
 CHUNK, STEP, AT_ONCE = 512, 448, 64
-#: The learning sample: at most so many rows of a label, and so many characters from anywhere in each; passes over it.
+#: The learning sample: at most so many rows of a label, and so many characters from anywhere in each; passes over it, and steps at least.
 PER_LABEL, SAMPLE_CHARS = 1500, 20_000
-PASSES, BATCH, RATE = 8, 32, 0.01
+PASSES, BATCH, RATE, LEAST_STEPS = 8, 32, 0.01, 150
 #: From which score on a text is predicted to be of label 1.
 THRESHOLD = 0.7
 
@@ -129,7 +129,9 @@ def learn(texts: list[str], labels: list[int], share: float | None = None, passe
     weight = np.where(y == 1, share / max(own, 1e-9), (1 - share) / max(1 - own, 1e-9)).astype(np.float32)
     rng = np.random.default_rng(seed)
     first, second = ([np.zeros_like(w) for w in net.weights()] for _ in range(2))
-    steps, done = passes * -(-len(held) // BATCH), 0
+    each, done = -(-len(held) // BATCH), 0
+    passes = max(passes, -(-LEAST_STEPS // each))
+    steps = passes * each
     for _ in range(passes):
         order = rng.permutation(len(held))
         for k in range(0, len(order), BATCH):
@@ -181,6 +183,7 @@ def scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     held_out: crc32 of the id modulo 4 is 2; such rows aren't learned from. predicted is 1 where score >= 0.7. Null texts score as empty
     ones. Where the labels teach nothing, every score is 0.5. Repeated rows score alike; an empty table gives no rows; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     net = fit(docs, labels, doc_id, text, quality, per_label)
 
     @F.arrow_udf("double")

@@ -42,7 +42,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from palimpsest.llm.common import shared_dir, stage
+from palimpsest.llm.common import bounded_batches, shared_dir, stage
 
 #: Bytes of a partition when reading, of a file when writing, of payload in a batch.
 PARTITION_BYTES, FILE_BYTES, BATCH_BYTES = 32 << 20, 64 << 20, 4 << 20
@@ -318,8 +318,8 @@ class _Written(WriterCommitMessage):
 class WarcWriter(DataSourceArrowWriter):
     """Rows of any of the columns of HEADERS, headers map<string,string> and payload -> files that appear when the job commits."""
 
-    def __init__(self, path: str, file_bytes: int):
-        self.path, self.file_bytes, self.job = path, file_bytes, uuid.uuid4().hex
+    def __init__(self, path: str, file_bytes: int, overwrite: bool = False):
+        self.path, self.file_bytes, self.overwrite, self.job = path, file_bytes, overwrite, uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         where, name = place(self.path)
@@ -345,6 +345,10 @@ class WarcWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[_Written | None]) -> None:
         where, name = place(self.path)
+        if self.overwrite:
+            for f in where.get_file_info(fs.FileSelector(name, allow_not_found=True)):
+                if f.type == fs.FileType.File:
+                    where.delete_file(f.path)
         for m in messages:
             for f in m.files if m else ():
                 where.move(f"{name}/_temporary-{self.job}/{f}", f"{name}/{f}")
@@ -373,11 +377,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options["path"], schema, int(self.options.get("partitionBytes", PARTITION_BYTES)))
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
-        if overwrite:
-            where, name = place(self.options["path"])
-            if where.get_file_info(name).type == fs.FileType.Directory:
-                where.delete_dir_contents(name)
-        return WarcWriter(self.options["path"], int(self.options.get("fileBytes", FILE_BYTES)))
+        return WarcWriter(self.options["path"], int(self.options.get("fileBytes", FILE_BYTES)), overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -421,6 +421,7 @@ def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     Repeated rows each have a record; an empty table gives no rows; other columns are ignored.
     """
     spark = pages.sparkSession
+    bounded_batches(spark)
     register(spark)
     path = f"{shared_dir(spark)}/palimpsest/warc-{uuid.uuid4().hex}"
     page_records(pages, page_id, url, html).write.format("warc").mode("append").save(path)
