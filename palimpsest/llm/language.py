@@ -227,7 +227,8 @@ def sample(docs: DataFrame, doc_id: str, text: str, label: str, per_label: int)
     at = F.pmod(F.xxhash64(F.lit("sample"), F.col(doc_id)), F.lit(1 << 30))
     share = F.element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.3 * per_label / n)))), F.col(label))
     start = 1 + F.pmod(at, F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(1)))
-    rows = docs.where(at < share * (1 << 30)).select(at.alias("at"), F.col(label).alias("label"), F.substring(F.col(text), start.cast("int"), F.lit(SAMPLE_CHARS)).alias("text")).collect()
+    rows = docs.where(at < share * (1 << 30)).select(at.alias("at"), F.col(label).alias("label"), F.substring(F.col(text), start.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
+    rows = rows.orderBy("at").limit(2 * per_label * len(counts)).collect()  # about 1.3 of each label, whatever id repeats how often
     taken: dict[str, int] = {}
     out = []
     for r in sorted(rows, key=lambda r: (r["at"], str(r["label"]), r["text"])):

@@ -159,12 +159,13 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         return None
     most = F.when(F.col("label") == 1, F.lit(min(1.0, 1.3 * per_label / counts[1]))).otherwise(F.lit(min(1.0, 1.3 * per_label / counts[0])))
     picked: dict[int, set[int]] = {}
-    for r in known.where(at < most * (1 << 30)).collect():
+    for r in known.where(at < most * (1 << 30)).distinct().orderBy(at).limit(4 * per_label).collect():
         picked.setdefault(r["doc_id"], set()).add(r["label"])
     ids = spark.createDataFrame([(i, k.pop()) for i, k in sorted(picked.items()) if len(k) == 1], "doc_id long, label int")
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(ids), "doc_id")  # at most 2.6 * per_label rows, about
     start = 1 + F.pmod(at, F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1)))
-    rows = own.select(at.alias("at"), "label", F.substring("text", start.cast("int"), F.lit(SAMPLE_CHARS)).alias("text")).collect()
+    rows = own.select(at.alias("at"), "label", F.substring("text", start.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
+    rows = rows.orderBy("at").limit(4 * per_label).collect()  # whatever id repeats how often
     taken: Counter = Counter()
     texts, classes = [], []
     for r in sorted(rows, key=lambda r: (r["at"], r["text"])):
