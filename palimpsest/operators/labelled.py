@@ -17,7 +17,7 @@ def located(text: Column, entities: Column) -> Column:
     start = F.struct(F.lit(0).alias("cursor"), F.array().alias("out")).cast(kind)
 
     def step(acc: Column, e: Column) -> Column:
-        at = F.locate_at(text, e["text"], acc["cursor"]) if hasattr(F, "locate_at") else F.call_function("locate", e["text"], text, acc["cursor"] + 1)
+        at = F.call_function("locate", e["text"], text, acc["cursor"] + 1)
         found = F.when(at > 0, at - 1).otherwise(F.raise_error(F.concat(F.lit("not found: "), e["text"])).cast("int"))
         end = found + F.length(e["text"])
         one = F.struct(e["type"].alias("type"), found.alias("start"), end.alias("end"), e["text"].alias("text"))

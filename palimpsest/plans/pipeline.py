@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.lets import exploded
@@ -12,6 +12,7 @@ from palimpsest.functions.textnorm import normalise
 from palimpsest.operators.detectors import AadhaarDetector, Detector, NaiveAadhaarDetector, detect
 from palimpsest.operators.overlap import resolve
 from palimpsest.operators.redaction import redact
+from palimpsest.sources.audit import write_audit_log
 
 
 def detected(docs: DataFrame, text: str = "text", detectors: Sequence[Detector] | None = None, unicode: bool = True) -> DataFrame:
@@ -34,6 +35,21 @@ def audit_entries(redacted: DataFrame, document_id: str | None = None) -> DataFr
     return rows.select("record.*", *(["document_id"] if document_id else []))
 
 
+def redact_to_log(docs: DataFrame, path: str, document_id: str | None = None, text: str = "text", detectors: Sequence[Detector] | None = None, append: bool = True) -> DataFrame:
+    """`redact_documents`, after its audit entries have been written. The frame returned is computed anew when it is used."""
+    done = redact_documents(docs, text, detectors)
+    write_audit_log(audit_entries(done, document_id), path, append)
+    return done
+
+
+def redact_document(spark: SparkSession, text: str, detectors: Sequence[Detector] | None = None, audit_log_path: str | None = None, document_id: str | None = None) -> tuple[str, list[dict]]:
+    """One document: (redacted text, records), logged if a path is given."""
+    docs = spark.createDataFrame([(document_id, text)], "document_id string, text string")
+    done = redact_to_log(docs, audit_log_path, "document_id" if document_id is not None else None, detectors=detectors) if audit_log_path else redact_documents(docs, detectors=detectors)
+    row = done.select("redacted", "records").first()
+    return row["redacted"], [r.asDict() for r in row["records"]]
+
+
 def for_evaluation(cases: DataFrame, detectors: Sequence[Detector] | None = None) -> DataFrame:
     """Labelled cases plus predicted spans. Raises where normalising would change a text, as its gold offsets would no longer hold."""
     out = detected(cases, "text", detectors)

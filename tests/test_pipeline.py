@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from palimpsest.operators import detectors as D
 from palimpsest.operators.overlap import resolve
 from palimpsest.operators.redaction import naive_redact, pseudonym, redact
-from palimpsest.plans.pipeline import audit_entries, naive_precision, redact_documents, spot_check
+from palimpsest.plans.pipeline import audit_entries, naive_precision, redact_document, redact_documents, spot_check
 from palimpsest.schema import SPANS
 from palimpsest.sources.audit import read_audit_log, write_audit_log
 from palimpsest.streaming.redaction import redact_stream, write_audit_stream
@@ -179,6 +179,15 @@ def test_audit_log(spark, tmp_path):
         read_audit_log(spark, path).collect()
 
 
+def test_one_document(spark, tmp_path):
+    path = str(tmp_path / "log")
+    for _ in range(2):
+        text, records = redact_document(spark, "  Mail x@y.org  now", audit_log_path=path, document_id="d")
+        assert text == "Mail [EMAIL_REDACTED] now" and [(r["start"], r["end"]) for r in records] == [(5, 12)]
+    assert [r["document_id"] for r in read_audit_log(spark, path).collect()] == ["d", "d"]
+    assert redact_document(spark, "x@y.org", detectors=[]) == ("x@y.org", [])
+
+
 def test_demos(spark, valid):
     docs = spark.createDataFrame([(f"{valid} 223456789013 998877665544",), ("none",)], "text string")
     row = naive_precision(docs).first()
