@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions.lets import exploded, let
 from palimpsest.operators.detectors import AadhaarDetector, Detector, EmailDetector, GazetteerDetector, PanDetector, PhoneDetector
 from palimpsest.schema import GOLD_ENTITY, STRUCTURED
 
@@ -57,6 +58,13 @@ def without_hit(cases: DataFrame, recogniser: Detector | None = None) -> DataFra
     own: Sequence[Detector] = (EmailDetector(), PhoneDetector(), PanDetector(), AadhaarDetector())
     texts = lambda d: F.transform(d.spans(text), lambda s: s["text"])
     hits = F.create_map(*(x for d in own for x in (F.lit(d.entity_type), texts(d))))
-    rows = cases.select("id", hits.alias("hits"), texts(recogniser or GazetteerDetector()).alias("names"), F.explode("entities").alias("e"))
-    known = F.when(F.col("e.type").isin(*STRUCTURED), F.array_contains(F.element_at("hits", F.col("e.type")), F.col("e.text"))).when(F.col("e.type").isin("PERSON", "LOCATION"), F.array_contains("names", F.col("e.text")))
-    return rows.where(~known).select("id", "e.type", "e.text")
+
+    def missed(found: Column) -> Column:
+        def gone(e: Column) -> Column:
+            known = F.when(e["type"].isin(*STRUCTURED), F.array_contains(F.element_at(found["hits"], e["type"]), e["text"])).when(e["type"].isin("PERSON", "LOCATION"), F.array_contains(found["names"], e["text"]))
+            return F.coalesce(~known, F.lit(False))
+
+        return F.filter("entities", gone)
+
+    found = F.struct(hits.alias("hits"), texts(recogniser or GazetteerDetector()).alias("names"))
+    return exploded(cases, let(found, missed), "e", "id").select("id", "e.type", "e.text")
