@@ -53,15 +53,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def unstage(*frames: DataFrame) -> None:
-    """Delete staged tables that no later plan reads, and let Spark drop the shuffle files of finished steps."""
+    """Delete staged tables that no later plan reads."""
     for df in frames:
         path = getattr(df, "_palimpsest_path", None)
         if path:
             jvm = df.sparkSession._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
-    if frames:
-        release(frames[0].sparkSession)
 
 
 def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:

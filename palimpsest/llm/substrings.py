@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from palimpsest.llm.common import bounded_batches, buckets, encode, release, stage, trim, unstage
 
@@ -289,6 +290,7 @@ def _repeat_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     runs = extended.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_per_bucket(_repeats), "doc long, tag long, first int, last int")
     runs = stage(runs.groupBy("doc", "tag").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "runs")
     unstage(hits, by_doc)
+    release(spark)
     return known, runs
 
 
@@ -357,8 +359,10 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(int(_NO_ID)))
     copies = known.where("copy").select(F.coalesce("doc_id", F.lit(int(_NO_ID))).alias("doc"), "tag", F.array(F.struct(F.lit(0).alias("first"), (F.col("n_words") - WINDOW).cast("int").alias("last"))).alias("runs"))
     of = runs.unionByName(copies.distinct()).groupBy("doc").agg(F.collect_list(F.struct("tag", "runs")).alias("__of")).withColumnRenamed("doc", "__doc")
-    joined = docs.withColumn("__key", key).join(of, F.col("__key") == F.col("__doc"), "left").select(*docs.columns, "__of")
-    return joined.mapInArrow(_shortened(docs.columns.index(text)), docs.schema)
+    joined = docs.withColumn("__key", key).join(of, F.col("__key") == F.col("__doc"), "left").drop("__key", "__doc")
+    plain = [f"c{k}" for k in range(len(docs.columns))]  # names with dots don't get through to Python
+    kinds = StructType([StructField(n, f.dataType, True) for n, f in zip(plain, docs.schema, strict=True)])
+    return joined.toDF(*plain, "of").mapInArrow(_shortened(docs.columns.index(text)), kinds).toDF(*docs.columns)
 
 
 ORACLE = r"""
