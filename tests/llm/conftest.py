@@ -1,6 +1,6 @@
 import pytest
 
-ODD = "doc_id long, text string, lang string, source string, n_chars long, size long, tag string, print long, key int, score double, language string, fingerprint string, leaks int, `of` int"
+ODD = "doc_id long, text string, lang string, source string, n_chars long, size long, tag string, print long, key int, score double, language string, fingerprint string, leaks int, `of` int, `a.b` int"
 
 
 @pytest.fixture(scope="session")
@@ -9,7 +9,7 @@ def odd(spark):
 
     def make(texts, ids=None):
         ids = list(range(len(texts))) if ids is None else ids
-        rows = [(i, t, "en" if k % 2 else None, f"s{k % 3}" if k % 4 else None, None, 7, "t", None, 1, 0.5, "x", "f", 3, None) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+        rows = [(i, t, "en" if k % 2 else None, f"s{k % 3}" if k % 4 else None, None, 7, "t", None, 1, 0.5, "x", "f", 3, None, 4) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
         return spark.createDataFrame(rows, ODD)
 
     return make
