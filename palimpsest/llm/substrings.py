@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -74,17 +75,30 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tags, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.string())], ["doc_id", "tag", "n_words", "sha256"])
 
 
+def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) -> (doc_id, z): texts packed for a join, at less than half their size."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        z = [None if t is None else pack(encode(t)) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], ["doc_id", "z"])
+    trim()
+
+
+def _words_in(z: bytes | None) -> list[bytes]:
+    return zstandard.decompress(z).split() if z else []
+
+
 def _tag(words: list[bytes]) -> int:
     return int.from_bytes(hashlib.sha256(b" ".join(words)).digest()[:4], "little")
 
 
 def _batched(batches: Iterator[pa.RecordBatch], extra: bool = False) -> Iterator[list[tuple]]:
-    """Lists of (doc, words, hits), of BATCH_WORDS words or one document more."""
+    """Lists of (doc, words, hits), of BATCH_WORDS words or one document more. extra: texts are packed, and have hits."""
     held, size = [], 0
     for batch in batches:
         columns = [c.to_pylist() if k else [_NO_ID if x is None else x for x in c.to_pylist()] for k, c in enumerate(batch.columns)]
         for doc, text, hits in zip(columns[0], columns[1], columns[2] if extra else columns[1], strict=True):
-            words = words_of(text)
+            words = _words_in(text) if extra else words_of(text)
             if len(words) >= WINDOW:
                 held.append((doc, words, hits))
                 size += len(words)
@@ -201,7 +215,7 @@ def _later(h: tuple[np.ndarray, ...], doc: np.ndarray, tag: np.ndarray, at: np.n
 
 
 def _candidates(many: int):
-    """(doc_id, text, hit blocks) -> for each bucket the batch's first occurrence of each window round a hit; and the runs that repeat one of the batch."""
+    """(doc, packed text, hit blocks) -> for each bucket the batch's first occurrence of each window round a hit; and the runs that repeat one of the batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _batched(batches, True):
@@ -285,8 +299,8 @@ def _repeat_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # texts that share an id share hits: these only say where to look
     copies = known.groupBy(F.coalesce("doc_id", F.lit(int(_NO_ID))).alias("doc")).agg(F.every("copy").alias("copy")).where("copy")
     by_doc = stage(hits.groupBy("doc").agg(F.collect_set("at").alias("hits")).join(copies, "doc", "left_anti"), "hits")
-    texts = docs.select(F.coalesce("doc_id", F.lit(int(_NO_ID))).alias("doc"), "text")
-    extended = texts.join(by_doc, "doc").select("doc", "text", "hits").mapInArrow(_candidates(many), "bucket int, h1 binary, h2 binary, docs binary, tags binary, ats binary, doc long, tag long, first int, last int")
+    texts = docs.mapInArrow(_zipped, "doc_id long, z binary").select(F.coalesce("doc_id", F.lit(int(_NO_ID))).alias("doc"), "z")
+    extended = texts.join(by_doc, "doc").select("doc", "z", "hits").mapInArrow(_candidates(many), "bucket int, h1 binary, h2 binary, docs binary, tags binary, ats binary, doc long, tag long, first int, last int")
     runs = extended.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_per_bucket(_repeats), "doc long, tag long, first int, last int")
     runs = stage(runs.groupBy("doc", "tag").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "runs")
     unstage(hits, by_doc)
@@ -301,11 +315,11 @@ def _own_runs(words: list[bytes], of: list[dict]) -> list[tuple[int, int]]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, runs by tag) -> (doc_id, n_words, n_removed, kept_sha256) of those that have runs."""
+    """(doc_id, packed text, runs by tag) -> (doc_id, n_words, n_removed, kept_sha256) of those that have runs."""
     for batch in batches:
         out: list[list] = [[], [], [], []]
-        for doc, text, of in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            words = words_of(text)
+        for doc, z, of in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            words = _words_in(z)
             if runs := _own_runs(words, of):
                 kept = _kept(words, runs)
                 for x, y in zip(out, (doc, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()), strict=True):
@@ -324,7 +338,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     known, runs = _repeat_runs(plain)
     key = F.coalesce("doc_id", F.lit(int(_NO_ID))).alias("doc")
     of = runs.groupBy("doc").agg(F.collect_list(F.struct("tag", "runs")).alias("of"))
-    cut = plain.select("doc_id", "text", key).join(of, "doc").select("doc_id", "text", "of").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    cut = plain.mapInArrow(_zipped, "doc_id long, z binary").select("doc_id", "z", key).join(of, "doc").select("doc_id", "z", "of").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
     copied = known.where("copy").select("doc_id", "n_words", F.col("n_words").alias("n_removed"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"))
     whole = known.where("not copy").select("*", key).join(runs.select("doc", "tag"), ["doc", "tag"], "left_anti")
     return cut.unionByName(copied).unionByName(whole.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha256").alias("kept_sha256")))
