@@ -3,13 +3,17 @@
 Where a text shares runs of three words with a license template, the words around are aligned with it: common words at both ends pair off,
 then words that occur once in the text's stretch and once in the template are anchors, of which the longest increasing subsequence stays;
 the gaps between anchors are aligned the same way. The share of template words that found a partner is the coverage.
+
+In a stretch with several copies no word need occur once. So a long one is also aligned window by window: shared runs, by their places in text and
+template, say where a copy would start and end, and windows of up to STRETCH templates are laid from each start and up to each end.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import Counter
+from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -114,6 +118,12 @@ class Scanner:
     def __init__(self, templates=TEMPLATES, coverage: float = COVERAGE):
         self.templates, self.coverage = templates, coverage
         self.seeds = Seeds([tokens(t) for _, _, t in templates], SEED_WORDS)
+        self.places: list[dict[tuple[int, ...], list[int]]] = []
+        for line in self.seeds.patterns:
+            places = defaultdict(list)
+            for k in range(len(line) - SEED_WORDS + 1):
+                places[tuple(line[k : k + SEED_WORDS])].append(k)
+            self.places.append(places)
 
     def _stretch(self, line: list[int], template: list[int]) -> tuple[int, int, int]:
         """(words aligned, first word, last word) of the alignment's part that isn't stretched too far."""
@@ -126,6 +136,33 @@ class Scanner:
                 best = (hi - lo + 1, pairs[lo][0], x)
         return best
 
+    def _windows(self, numbers: np.ndarray, which: int, at: list[int]) -> list[tuple[int, int]]:
+        """(first word, end) of the windows in which the seeds `at` may have a copy, without those that lack the words for one."""
+        template, line = self.seeds.patterns[which], numbers.tolist()
+        size, most = len(template), int(STRETCH * len(template))
+        starts, ends, last = set(), set(), set()
+        for place in at:
+            now = {place - k for k in self.places[which][tuple(line[place : place + SEED_WORDS])]}
+            starts |= now - last  # a run of seeds keeps its start
+            last = now
+        last = set()
+        for place in reversed(at):
+            now = {place - k + size for k in self.places[which][tuple(line[place : place + SEED_WORDS])]}
+            ends |= now - last
+            last = now
+        spans = {(x, x + n) for x in starts for n in (size, most)} | {(x - n, x) for x in ends for n in (size, most)}
+        ordered = sorted(ends)
+        for x in starts:
+            spans |= {(x, y) for y in ordered[bisect_left(ordered, x + int(self.coverage * size)) : bisect_left(ordered, x + most + 1)]}
+        needed, seen, out = Counter(template), set(), []
+        for a, b in sorted({(max(0, a), min(len(line), b)) for a, b in spans}):
+            if b - a < self.coverage * size or (words := numbers[a:b].tobytes()) in seen:
+                continue
+            seen.add(words)  # a line repeated many times is looked at once
+            if sum((Counter(line[a:b]) & needed).values()) >= self.coverage * size:
+                out.append((a, b))
+        return out
+
     def scan(self, texts: list[str | None]) -> list[list[dict]]:
         """For each text the templates found in it, each with its best match, by template order."""
         out: list[list[dict]] = [[] for _ in texts]
@@ -144,6 +181,14 @@ class Scanner:
                     if count >= self.coverage * size:
                         if best is None or count > best[0]:
                             best = (count, start + x, start + y)
+                if best is None or best[0] < size:
+                    line = numbered[n][first:last]
+                    for a, b in self._windows(line, which, [x - first for x in at[lo : k + 1]]):
+                        count, x, y = self._stretch(line[a:b].tolist(), template)
+                        if count >= self.coverage * size and (best is None or count > best[0]):
+                            best = (count, first + a + x, first + a + y)
+                            if count == size:
+                                break
                 lo = k + 1
             if best:
                 name, kind, _ = self.templates[which]

@@ -100,6 +100,28 @@ def test_licenses(spark, odd, words):
     assert licences.licenses(docs.limit(0)).count() == 0
 
 
+def test_close_copies_of_a_license(words):
+    """Two, three and twenty copies, whole or edited, are found as one alone would be, wherever in the text they are."""
+    rnd = random.Random(9)
+    scanner = licences.Scanner()
+    for name, kind, template in licences.TEMPLATES:
+        whole = licences.tokens(template)
+        for copies in (2, 3, 20):
+            for before, apart, after in ((0, 0, 0), (0, 4, 40), (1, 1, 30), (20, 12, 0), (200, 0, 200), (4, 7, 300)):
+                for edits in (0, len(whole) // 12):
+                    line, least = words(before, 1), 0
+                    for k in range(copies):
+                        copy = list(whole)
+                        for place in rnd.sample(range(len(copy)), edits):
+                            copy[place] = rnd.choice(["", "other", copy[place] + " more"])
+                        copy = " ".join(copy).split()
+                        alone = [f for f in scanner.scan([" ".join(copy)])[0] if (f["license"], f["template"]) == (name, kind)]
+                        least = max([least, *(f["words"] for f in alone)])
+                        line += copy + words(apart if k + 1 < copies else after, k + 2)
+                    got = [f for f in scanner.scan([" ".join(line)])[0] if (f["license"], f["template"]) == (name, kind)]
+                    assert not least or (got and got[0]["words"] >= least), (name, kind, copies, before, apart, after, edits, least, got)
+
+
 def greedy(word, pieces, mark):
     word, n, k = mark + word, 0, 0
     while k < len(word):
