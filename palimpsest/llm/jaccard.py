@@ -1,0 +1,166 @@
+"""Near duplicates by the Jaccard similarity of word shingles: MinHash names candidates, each is verified exactly.
+
+A text's set of shingle hashes gives BANDS keys of ROWS minima each. Texts that share a key meet in its bucket, where the intersections of all
+sets are counted. Two texts with a similarity of 0.8 share no key with a probability of (1 - 0.8 ** ROWS) ** BANDS, 3 in a million, of 0.85
+one of 10 ** 8. Buckets that hold the same texts are looked at once. A bucket returns its links as stars, never as pairs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from palimpsest.llm.common import bounded_batches, encode, release, stage, unstage
+from palimpsest.llm.components import connected
+from palimpsest.llm.simhash import SEED, _forest
+
+#: Words of a shingle, and the least similarity in tenths, so that no rounding decides.
+WIDTH, TENTHS = 5, 8
+BANDS, ROWS = 32, 5
+
+#: A bucket with more texts than this is dealt over the pairs of its blocks.
+BLOCK = 512
+#: Shingles that sets are counted over at once.
+AT_ONCE = 4096
+
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_RNG = np.random.default_rng(SEED)
+_TURN = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64)
+_TIMES = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(words: list[bytes], width: int = WIDTH) -> np.ndarray:
+    """The set of a text's shingles as ascending XXH64 values. Fewer words than `width` make one shingle, no words an empty one."""
+    if len(words) < width:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
+    digest = xxhash.xxh64_digest
+    raw = b"".join([digest(s, SEED) for s in map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False))])
+    return np.unique(np.frombuffer(raw, ">u8").astype(np.uint64))
+
+
+def keys_of(values: np.ndarray) -> np.ndarray:
+    """The BANDS bucket keys of a set."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(values), 1024):
+        np.minimum(least, ((values[k : k + 1024] ^ _TURN) * _TIMES).min(axis=1), out=least)
+    out = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        out = out * _STEP + column
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def _words(text: str | None) -> list[bytes]:
+    return encode(text or "").lower().split()
+
+
+def _print(words: list[bytes]) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(b" ".join(words), SEED)).view(np.int64))
+
+
+def similar(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of positions (x < y) of sets whose similarity is TENTHS tenths at least."""
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    if n == 2:
+        both = np.full((2, 2), len(np.intersect1d(*sets, assume_unique=True)))
+    else:
+        values = np.concatenate(sets)
+        owner = np.repeat(np.arange(n), sizes)
+        _, number, many = np.unique(values, return_inverse=True, return_counts=True)
+        keep = many[number] > 1
+        number, owner = (np.cumsum(many > 1) - 1)[number[keep]], owner[keep]
+        order = np.argsort(number, kind="stable")
+        number, owner = number[order], owner[order]
+        both = np.zeros((n, n), np.int64)
+        for lo in range(0, int((many > 1).sum()), AT_ONCE):
+            a, b = np.searchsorted(number, (lo, lo + AT_ONCE))
+            has = np.zeros((n, AT_ONCE), np.float32)
+            has[owner[a:b], number[a:b] - lo] = 1
+            both += (has @ has.T).astype(np.int64)
+    good = (10 + TENTHS) * both >= TENTHS * (sizes[:, None] + sizes[None, :])
+    return np.nonzero(np.triu(good, 1))
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by key, i, j -> links of the texts that meet there."""
+
+    def answer(prints: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        x, y = similar(sets) if len(sets) > 1 else ([], [])
+        if len(x):
+            own = np.array(prints, np.int64)
+            a, b = _forest(own[x], own[y])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    now, prints, sets = None, [], []
+    for batch in batches:
+        key, i, j, own = (batch.column(k).to_pylist() for k in range(4))
+        for k, group in enumerate(zip(key, i, j, strict=True)):
+            if group != now:
+                yield from answer(prints, sets)
+                now, prints, sets = group, [], []
+            prints.append(own[k])
+            sets.append(shingles(_words(batch.column(4)[k].as_py())))
+    yield from answer(prints, sets)
+
+
+def links(printed: DataFrame, texts: DataFrame) -> DataFrame:
+    """printed(print, keys), distinct, and texts(print, text), repeats allowed -> (a, b): links that join the same prints as all similar pairs do."""
+    keyed = printed.select("print", F.explode("keys").alias("key"))
+    held = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("print")).alias("who"), F.min("print").alias("least")).where("n > 1")
+    held = stage(held.groupBy("n", "who", "least").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "buckets")
+    own = F.pmod(F.xxhash64("print", F.lit(1)), F.col("blocks")).cast("int")
+    met = keyed.join(held, "key").select("print", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = stage(met.select("print", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")), "met")
+    wanted = stage(met.select("print").distinct(), "wanted")
+    told = stage(texts.join(wanted, "print").groupBy("print").agg(F.min("text").alias("text")), "told")
+    rows = met.join(told, "print").select("key", "i", "j", "print", "text")
+    found = stage(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_linked, "a long, b long"), "links")
+    unstage(held, met, wanted, told)
+    return found
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each row of docs: (doc_id, component_id). Texts whose 5-word shingles have a Jaccard similarity of 0.8 at least are linked.
+
+    Words are as in simhash.fingerprint(). Null and empty texts are alike. component_id is the smallest doc_id that links reach, the row's own
+    included. A null doc_id gets a row, and counts only if its component has no other id. Repeated rows each get a row.
+    """
+    bounded_batches(docs.sparkSession)
+    kind = pa.struct([("print", pa.int64()), ("keys", pa.list_(pa.int64()))])
+
+    @F.arrow_udf("struct<print:bigint,keys:array<bigint>>")
+    def signed(texts: pa.Array) -> pa.Array:
+        lines = [_words(t.as_py()) for t in texts]
+        return pa.array([{"print": _print(w), "keys": keys_of(shingles(w))} for w in lines], kind)
+
+    @F.arrow_udf("bigint")
+    def named(texts: pa.Array) -> pa.Array:
+        return pa.array([_print(_words(t.as_py())) for t in texts], pa.int64())
+
+    of_text = F.coalesce(F.col(text), F.lit(""))
+    printed = stage(docs.select(F.col(doc_id).alias("doc_id"), signed(of_text).alias("of")).select("doc_id", "of.*"), "prints")
+    first = stage(printed.groupBy("print").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys")), "first")
+    release(docs.sparkSession)
+    found = links(first.select("print", "keys"), docs.select(named(of_text).alias("print"), of_text.alias("text")))
+    release(docs.sparkSession)
+    roots = stage(connected(found), "roots")
+    rooted = stage(first.join(roots, first["print"] == roots["node"], "left").select("print", "first", F.coalesce("root", "print").alias("root")), "rooted")
+    least = stage(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "components")
+    of_print = stage(rooted.join(least, "root").select("print", "component_id"), "members")
+    unstage(first, found, roots, rooted, least)
+    return printed.select("doc_id", "print").join(of_print, "print").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, columns unchanged, without those whose component has a smaller id.
+
+    An id goes only if that holds for all rows that have it, so repeated rows of the kept id stay. Rows without an id stay.
+    """
+    found = near_duplicates(docs, doc_id, text)
+    gone = found.groupBy("doc_id").agg(F.every(F.col("component_id") < F.col("doc_id")).alias("gone")).where("gone").select(F.col("doc_id").alias("__gone"))
+    return docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")

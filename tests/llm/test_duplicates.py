@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import components, simhash, substrings
+from palimpsest.llm import components, jaccard, simhash, substrings
 
 
 def reachable(nodes, edges):
@@ -106,6 +106,47 @@ def test_crowded_keys_are_dealt_out(spark, hot_keys):
         simhash.links(found.select(F.col("a").alias("print")), 4)
 
 
+@pytest.mark.parametrize("block", [512, 3])
+def test_similar_texts_are_one(spark, odd, words, block, monkeypatch):
+    """The pipeline's second stage against the similarity of all pairs; a chain of near copies is one component."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rnd = random.Random(10)
+    texts = []
+    for k in range(12):
+        base = words(rnd.randint(5, 300), k)
+        texts.append(" ".join(base))
+        for _ in range(rnd.randint(1, 8)):
+            near = list(rnd.choice([base, texts[-1].split()]))
+            for place in rnd.sample(range(len(near)), min(len(near), rnd.randint(0, max(1, len(near) // 30)))):
+                near[place] = rnd.choice(["changed", "", "two words"])
+            texts.append("  ".join(near).upper())
+    texts += ["", None, " ", "one", "One", "a b", "A\tb", "a b c d", "a b c e", texts[0], " ".join(words(20000, 99)), " ".join(words(20000, 99)[:17000])]
+    ids = [1000 - k for k in range(len(texts))]
+    ids[3] = None
+
+    def grams(text):
+        w = (text or "").encode().lower().split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else {tuple(w)}
+
+    sets = [grams(t) for t in texts]
+    edges = [(x, y) for y in range(len(sets)) for x in range(y) if 10 * len(sets[x] & sets[y]) >= 8 * len(sets[x] | sets[y])]
+    far = [(x, y) for x, y in edges if sets[x] != sets[y] and bin((simhash.fingerprint(texts[x]) ^ simhash.fingerprint(texts[y])) % (1 << 64)).count("1") > 3]
+    assert len(far) > 5
+    roots = reachable(range(len(texts)), edges)
+    least = {}
+    for k, i in enumerate(ids):
+        if i is not None:
+            least[roots[k]] = min(least.get(roots[k], i), i)
+    docs = odd(texts, ids)
+    got = sorted((tuple(r) for r in jaccard.near_duplicates(docs).collect()), key=str)
+    assert got == sorted(((i, least.get(roots[k])) for k, i in enumerate(ids)), key=str)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(i) for k, i in enumerate(ids) if i is None or least[roots[k]] == i)
+    assert jaccard.near_duplicates(docs.limit(0)).count() == 0
+
+
 def brute_repeats(rows):
     first = {}
     ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
