@@ -4,6 +4,8 @@ Three rounds of random signs and a fast Hadamard transform turn a vector about;
 comes out. A query probes the nearest `probes` axes of each table. Who shares a bucket is scored exactly on the original vectors, in
 double precision. A bucket is dealt out in blocks of vectors by blocks of queries, so a crowded one neither fills a task nor makes pairs:
 each block returns its best `k` of each query. Queries that find fewer than k others are searched for again over all buckets of one table.
+
+Buckets go by angle, nearness by inner product: recall holds for vectors of about equal length. Of differing ones, long vectors at a wide angle are missed.
 """
 
 from __future__ import annotations
@@ -173,7 +175,7 @@ def _search(rows: DataFrame, dim: int, kind: str, tables: int, probes: int, k: i
 def neighbours(table: DataFrame, query: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = K, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """For each row where `query` holds, its k nearest others found: (query_id, rank from 1, vec_id, score), ties to the smaller vec_id.
 
-    Near is a large inner product. Rows without an id, and vectors that are null, empty, zero or hold a null or non-finite number, take no
+    Near is a large inner product; recall holds for vectors of about equal length and is less where lengths differ. Rows without an id, and vectors that are null, empty, zero or hold a null or non-finite number, take no
     part, neither do vectors of other than the most frequent length. All rows of one id are its own: a query never finds its own id, and of
     several vectors of one id the best score counts. With fewer than k other rows all are returned; an empty table gives no rows.
     """
