@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import bounded_batches, encode, release, stage, unstage
 from palimpsest.llm.components import connected
-from palimpsest.llm.simhash import SEED, _forest
+from palimpsest.llm.simhash import SEED, forest as _forest
 
 #: Words of a shingle, and the least similarity in tenths, so that no rounding decides.
 WIDTH, TENTHS = 5, 8

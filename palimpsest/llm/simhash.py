@@ -9,7 +9,8 @@ meet up to 108 probe keys. What shares a key is verified on the whole 64 bits.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
 
@@ -29,8 +30,8 @@ GOLAY = 0b110001110101
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 MAX_BITS = 3
 
-#: A key with more index rows than this is dealt over several groups; its probes go to each of them.
-BLOCK = 4096
+#: A key with more index rows than BLOCK is dealt over a grid of groups, each with about so many index rows and so many probes.
+BLOCK, PROBE_BLOCK = 4096, 65_536
 #: So many hot keys may travel with the task; beyond that they're joined.
 HOT_KEYS = 50_000
 #: Pairs compared at once.
@@ -125,39 +126,81 @@ def keys_of(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return np.concatenate(index), np.tile(np.arange(len(bits)), 3), np.concatenate(probe), np.concatenate(rows)
 
 
-def _spread(prints: np.ndarray) -> np.ndarray:
-    return (prints.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+def spread(prints: np.ndarray) -> np.ndarray:
+    """Like prints differ in few bits: all bits are mixed before they are dealt."""
+    x = prints.view(np.uint64)
+    for times in (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)):
+        x = (x ^ (x >> np.uint64(32))) * times
+    return x ^ (x >> np.uint64(32))
 
 
-def _keyed(hot: np.ndarray, blocks: np.ndarray, only_index: bool = False):
+@dataclass
+class Hot:
+    """Keys that are dealt over a grid, ascending: in how many blocks their index rows lie, and in how many their probes."""
+
+    key: np.ndarray
+    index: np.ndarray
+    probe: np.ndarray
+
+    @classmethod
+    def none(cls) -> Hot:
+        return cls(*(np.empty(0, np.int64) for _ in range(3)))
+
+
+def dealt(key: np.ndarray, node: np.ndarray, role: int, hot: Hot) -> tuple[np.ndarray, np.ndarray]:
+    """(row, block) of what is sent for rows of one role: a row of a hot key goes to its own block of its role, times all blocks of the other."""
+    pick, block = np.arange(len(key)), np.zeros(len(key), np.int32)
+    if len(hot.key) and len(key):
+        at = np.minimum(np.searchsorted(hot.key, key), len(hot.key) - 1)
+        there = hot.key[at] == key
+        index, probe = np.where(there, hot.index[at], 1), np.where(there, hot.probe[at], 1)
+        own, times = (index, probe) if role == 0 else (probe, index)
+        pick = np.repeat(pick, times)
+        step = np.arange(len(pick)) - (np.cumsum(times) - times)[pick]
+        mine = (spread(node) % own.astype(np.uint64)).astype(np.int64)[pick]
+        block = (mine * probe[pick] + step if role == 0 else step * probe[pick] + mine).astype(np.int32)
+    return pick, block
+
+
+#: (a batch of nodes) -> (index keys, their rows, probe keys, their rows, nodes, the words of their fingerprints)
+Keys = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]
+
+
+def _plain_keys(batch: pa.RecordBatch):
+    prints = batch.column(0).to_numpy(zero_copy_only=False)
+    return *keys_of(prints), prints, [prints]
+
+
+def _keyed(keys: Keys, hot: Hot, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(0).to_numpy(zero_copy_only=False)
-            for k in range(0, len(column), 2048):
-                prints = column[k : k + 2048]
-                ikey, irow, pkey, prow = keys_of(prints)
-                if only_index:
-                    yield pa.RecordBatch.from_arrays([pa.array(ikey)], ["key"])
-                    continue
-                key, row = np.concatenate([ikey, pkey]), np.concatenate([irow, prow])
-                role = np.repeat(np.array([0, 1], np.int8), [len(ikey), len(pkey)])
-                block = np.zeros(len(key), np.int32)
-                if len(hot):
-                    at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
-                    many = np.where(hot[at] == key, blocks[at], 1)
-                    block = np.where(role == 0, _spread(prints[row]) % many.astype(np.uint64), 0).astype(np.int32)
-                    times = np.where(role == 0, 1, many)
-                    if times.max(initial=1) > 1:
-                        first = np.cumsum(times) - times
-                        pick = np.repeat(np.arange(len(key)), times)
-                        step = np.arange(len(pick)) - first[pick]
-                        key, row, role, block = key[pick], row[pick], role[pick], (block[pick] + step).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(block), pa.array(role), pa.array(prints[row])], ["key", "block", "role", "print"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2048):
+                ikey, irow, pkey, prow, node, prints = keys(whole.slice(lo, 2048))
+                for role, key, row in ((0, ikey, irow), (1, pkey, prow)):
+                    pick, block = dealt(key, node[row], role, hot)
+                    sent = row[pick]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key[pick]), pa.array(block), pa.array(np.full(len(pick), role, np.int8)), *(pa.array(p[sent]) for p in prints)], ["key", "block", "role", *(f"w{k}" for k in range(words))]
+                    )
 
     return run
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _counted(keys: Keys, role: int, part: int = 1):
+    """How many rows of a role each key has in a batch, of one node in `part`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 8192):
+                got = keys(whole.slice(lo, 8192))
+                key, row, node = got[2 * role], got[2 * role + 1], got[4]
+                key, many = np.unique(key[spread(node[row]) % np.uint64(part) == 0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(many.astype(np.int64) * part)], ["key", "many"])
+
+    return run
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The links of one batch as stars: each node but the smallest of its component, with that smallest one."""
     nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
     a, b = ends[: len(a)], ends[len(a) :]
@@ -177,25 +220,33 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def _linked(limit: int):
+def _distance(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    out = np.bitwise_count((x[0] ^ y[0]).view(np.uint64)).astype(np.int16)
+    for a, b in zip(x[1:], y[1:], strict=True):
+        out += np.bitwise_count((a ^ b).view(np.uint64))
+    return out
+
+
+def _linked(limit: int, words: int, named: Callable[[list[np.ndarray]], np.ndarray]):
     """Batches sorted by key, block, role -> links. An index row precedes the probes of its group; those of an unended group are carried over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, np.empty(0, np.int64)
+        nothing = [np.empty(0, np.int64)] * words
+        last, held = None, nothing
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, block, role, prints = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            key, block, role, *prints = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (block[1:] != block[:-1])
             new[0] = last != (key[0], block[0])
-            held = np.empty(0, np.int64) if new[0] else held
+            held = nothing if new[0] else held
             group = np.cumsum(new) - new[0]
             indexed = role == 0
             many = np.bincount(group[indexed], minlength=group[-1] + 1)
-            many[0] += len(held)
+            many[0] += len(held[0])
             start = np.cumsum(many) - many
-            pool = np.concatenate([held, prints[indexed]])
+            pool = [np.concatenate([h, p[indexed]]) for h, p in zip(held, prints, strict=True)]
             probes = np.nonzero(~indexed & (many[group] > 0))[0]
             times = many[group[probes]]
             ends = np.cumsum(times)
@@ -205,44 +256,69 @@ def _linked(limit: int):
                 n, some = times[at:to], probes[at:to]
                 pick = np.repeat(np.arange(len(some)), n)
                 inside = np.arange(len(pick)) - (np.cumsum(n) - n)[pick]
-                x, y = pool[start[group[some]][pick] + inside], prints[some][pick]
-                good = (x != y) & (np.bitwise_count((x ^ y).view(np.uint64)) <= limit)
-                if good.any():
-                    x, y = _forest(x[good], y[good])
+                place = start[group[some]][pick] + inside
+                x, y = [p[place] for p in pool], [p[some][pick] for p in prints]
+                far = _distance(x, y)
+                good = np.nonzero((far > 0) & (far <= limit))[0]
+                if len(good):
+                    x, y = forest(named([p[good] for p in x]), named([p[good] for p in y]))
                     froms.append(x)
                     tos.append(y)
                 at = to
             if froms:
-                x, y = _forest(np.concatenate(froms), np.concatenate(tos))
+                x, y = forest(np.concatenate(froms), np.concatenate(tos))
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
             last = (key[-1], block[-1])
-            tail = pool[start[group[-1]] :] if many[group[-1]] else np.empty(0, np.int64)
-            held = tail
+            held = [p[start[group[-1]] :] if many[group[-1]] else p[:0] for p in pool]
 
     return run
 
 
-def links(prints: DataFrame, limit: int = MAX_BITS, block: int = BLOCK, hot_keys: int = HOT_KEYS) -> DataFrame:
-    """prints(print long, distinct) -> (a, b): links that join the same prints as all pairs within `limit` (at most 3) bits do.
+def met(nodes: DataFrame, keys: Keys, words: int, block: int = BLOCK, probe_block: int = PROBE_BLOCK, hot_keys: int = HOT_KEYS) -> DataFrame:
+    """nodes -> (key, block, role, w0...): each node's index rows (role 0) and probes (role 1), those of crowded keys dealt over a grid.
 
-    Each task returns the links of a batch as stars, so that a group of n like prints gives rows in proportion to n, not n squared.
+    A group (key, block) holds about `block` index rows and `probe_block` probes at most, whatever the key: each is sent to all blocks of the other role.
+    """
+    part = max(1, min(64, probe_block // 512))  # probes are many: which keys have too many of them shows in a part of the nodes
+    counts = lambda role, part, name, each: nodes.mapInArrow(_counted(keys, role, part), "key long, many long").groupBy("key").agg(F.ceil(F.sum("many") / each).cast("int").alias(name)).where(F.col(name) > 1)
+    crowded = counts(0, 1, "index", block).join(counts(1, part, "probe", probe_block), "key", "full")
+    crowded = stage(crowded.select("key", F.coalesce("index", F.lit(1)).alias("index"), F.coalesce("probe", F.lit(1)).alias("probe")), "crowded")
+    columns = ", ".join(["key long, block int, role byte", *(f"w{k} long" for k in range(words))])
+    if crowded.count() <= hot_keys:
+        found = sorted(tuple(r) for r in crowded.collect())
+        unstage(crowded)
+        return nodes.mapInArrow(_keyed(keys, Hot(*(np.array([r[k] for r in found], np.int64) for k in range(3))), words), columns)
+    names = [f"w{k}" for k in range(words)]
+    every = nodes.mapInArrow(_keyed(keys, Hot.none(), words), columns).drop("block").join(crowded, "key", "left")
+    index, probe = F.coalesce("index", F.lit(1)), F.coalesce("probe", F.lit(1))
+    mine = F.pmod(F.xxhash64(*names), F.when(F.col("role") == 0, index).otherwise(probe)).cast("int")
+    blocks = F.when(F.col("role") == 0, F.transform(F.sequence(F.lit(0), probe - 1), lambda t: mine * probe + t)).otherwise(F.transform(F.sequence(F.lit(0), index - 1), lambda t: t * probe + mine))
+    return every.select("key", F.explode(blocks).alias("block"), "role", *names)
+
+
+def linked(rows: DataFrame, limit: int, words: int, named: Callable[[list[np.ndarray]], np.ndarray]) -> DataFrame:
+    """What `met` gives -> (a, b): links that join the same nodes as all pairs that share a key and differ in at most `limit` bits do.
+
+    Each task returns the links of a batch as stars, so that a group of n like nodes gives rows in proportion to n, not n squared.
     """
+    return rows.repartition("key", "block").sortWithinPartitions("key", "block", "role").mapInArrow(_linked(limit, words, named), "a long, b long")
+
+
+def links(prints: DataFrame, limit: int = MAX_BITS, block: int = BLOCK, hot_keys: int = HOT_KEYS, probe_block: int = PROBE_BLOCK) -> DataFrame:
+    """prints(print long, distinct) -> (a, b): links that join the same prints as all pairs within `limit` (at most 3) bits do."""
     if not 0 <= limit <= MAX_BITS:
         raise ValueError(f"the keys hold for up to {MAX_BITS} bits")
-    none = np.empty(0, np.int64)
-    crowded = prints.mapInArrow(_keyed(none, none, True), "key long").groupBy("key").count().where(F.col("count") > block)
-    crowded = stage(crowded.select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "hot")
-    n = crowded.count()
-    if n <= hot_keys:
-        found = sorted((r["key"], r["blocks"]) for r in crowded.collect())
-        hot, blocks = (np.array([x[k] for x in found], np.int64) for k in (0, 1))
-        keyed = prints.mapInArrow(_keyed(hot, blocks), "key long, block int, role byte, print long")
-    else:
-        keyed = prints.mapInArrow(_keyed(none, none), "key long, block int, role byte, print long").join(crowded, "key", "left")
-        many = F.coalesce("blocks", F.lit(1))
-        own = F.pmod(F.xxhash64("print"), many).cast("int")
-        keyed = keyed.select("key", F.explode(F.when(F.col("role") == 0, F.array(own)).otherwise(F.sequence(F.lit(0), many - 1))).alias("block"), "role", "print")
-    return keyed.repartition("key", "block").sortWithinPartitions("key", "block", "role").mapInArrow(_linked(limit), "a long, b long")
+    return linked(met(prints, _plain_keys, 1, block, probe_block, hot_keys), limit, 1, lambda w: w[0])
+
+
+def components(first: DataFrame, found: DataFrame, node: str) -> DataFrame:
+    """first(node, first id) and links -> (node, component_id), staged: the smallest id that links reach from each node."""
+    roots = stage(connected(found), "roots")
+    rooted = stage(first.join(roots, first[node] == roots["node"], "left").select(first[node], "first", F.coalesce("root", first[node]).alias("root")), "rooted")
+    least = stage(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "components")
+    out = stage(rooted.join(least, "root").select(node, "component_id"), "members")
+    unstage(roots, rooted, least)
+    return out
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, limit: int = MAX_BITS) -> DataFrame:
@@ -256,19 +332,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = stage(printed.groupBy("print").agg(F.min("doc_id").alias("first")), "first")
     found = stage(links(first.select("print"), limit), "links")
     release(docs.sparkSession)
-    roots = stage(connected(found), "roots")
-    rooted = stage(first.join(roots, first["print"] == roots["node"], "left").select("print", "first", F.coalesce("root", "print").alias("root")), "rooted")
-    least = stage(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "components")
-    of_print = stage(rooted.join(least, "root").select("print", "component_id"), "members")
-    unstage(first, found, roots, rooted, least)
+    of_print = components(first, found, "print")
+    unstage(first, found)
     return printed.join(of_print, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def smallest_of(docs: DataFrame, found: DataFrame, doc_id: str) -> DataFrame:
+    """The rows of docs without the ids all of whose rows in found(doc_id, component_id) have a smaller component_id."""
+    gone = found.groupBy("doc_id").agg(F.every(F.col("component_id") < F.col("doc_id")).alias("gone")).where("gone").select(F.col("doc_id").alias("__gone"))
+    return docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+
+
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, limit: int = MAX_BITS) -> DataFrame:
     """The rows of docs, columns unchanged, without those whose component has a smaller id.
 
     An id goes only if that holds for all rows that have it, so repeated rows of the kept id stay. Rows without an id stay.
     """
-    found = near_duplicates(docs, doc_id, text, width, limit)
-    gone = found.groupBy("doc_id").agg(F.every(F.col("component_id") < F.col("doc_id")).alias("gone")).where("gone").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    return smallest_of(docs, near_duplicates(docs, doc_id, text, width, limit), doc_id)

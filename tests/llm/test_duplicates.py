@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import components, jaccard, simhash, substrings
+from palimpsest.llm import components, shingled, simhash, substrings
 
 
 def reachable(nodes, edges):
@@ -106,11 +106,84 @@ def test_crowded_keys_are_dealt_out(spark, hot_keys):
         simhash.links(found.select(F.col("a").alias("print")), 4)
 
 
+def test_grid_bounds_both_sides(spark):
+    """Of a crowded key each group holds about a block of index rows and a block of probes at most, by closure and by join."""
+    base = 0x0123456789ABCDEF
+    prints = sorted({base ^ (1 << a) ^ (1 << b) for a in range(60) for b in range(a)} | {k * 0x9E3779B97F4A7C15 % (1 << 62) for k in range(200)})
+    nodes = spark.createDataFrame([(p,) for p in prints], "print long").repartition(3)
+    for hot_keys in (10_000, 0):
+        groups = simhash.met(nodes, simhash._plain_keys, 1, 50, 100, hot_keys).groupBy("key", "block", "role").count().collect()
+        of = {}
+        for r in groups:
+            of.setdefault(r["role"], []).append(r["count"])
+        assert max(of[0]) <= 100 and max(of[1]) <= 200  # twice a block at most, as rows are dealt by hash
+        assert len({r["block"] for r in groups}) > 20
+        got = reachable(prints, [tuple(r) for r in simhash.links(nodes, block=50, hot_keys=hot_keys, probe_block=100).collect()])
+        assert len({got[p] for p in prints if bin(p ^ base).count("1") <= 2}) == 1
+
+
+def test_wide_keys_find_similar_sets(words):
+    """Of pairs of sets with a similarity of 0.8 or a little more, few share no key, and none differs in too many bits."""
+    rnd, missed, n = random.Random(12), 0, 0
+    for k in range(60):
+        sets = []
+        size = rnd.choice([20, 60, 200, 800])
+        base = [int(x) for x in np.random.default_rng(k).integers(0, 2**64, size, np.uint64)]
+        for _ in range(20):
+            some = list(base)
+            for place in rnd.sample(range(size), int(size * 0.055)):  # each pair shares about nine tenths
+                some[place] = rnd.getrandbits(64)
+            sets.append(np.unique(np.array(some, np.uint64)))
+        near, bits = shingled.signed(sets)
+        near = near.reshape(len(sets), shingled.TABLES, 2, shingled.TOP)
+        x, y = shingled.similar(sets)
+        hit = lambda a, b: (near[a, :, 0, 0][:, :, None] == near[b, :, 0]).any(2) & (near[a, :, 1, 0][:, :, None] == near[b, :, 1]).any(2)
+        missed += int((~(hit(x, y) | hit(y, x)).any(axis=1)).sum())
+        n += len(x)
+        assert len(x) and np.bitwise_count((bits[x] ^ bits[y]).view(np.uint64)).sum(axis=1).max() <= shingled.MAX_BITS
+    assert n > 3000 and missed / n < 0.001
+
+
+def test_the_code():
+    """4096 words, as signs: any two of them differ in 7 bits at least; the second half are the opposites of the first."""
+    half = shingled._codewords()
+    alike = half.T @ half
+    np.fill_diagonal(alike, 0)
+    assert half.shape == (23, 2048) and np.abs(alike).max() <= 23 - 2 * 7
+    x = np.random.default_rng(3).integers(0, 2**64, 400, np.uint64)
+    near, _ = shingled.signed([np.unique(x)])
+    assert near.min() >= 0 and near.max() < 4096 and all(len(set(row)) == shingled.TOP for row in near[0].tolist())
+
+
+def brute_similar(rows):
+    """The smallest id that links of a similarity of 0.8 reach from each row, and the links."""
+
+    def grams(text):
+        w = (text or "").encode().lower().split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else {tuple(w)}
+
+    sets, of = [grams(t) for _, t in rows], {}
+    for k, x in enumerate(sets):
+        for g in x:
+            of.setdefault(g, []).append(k)
+    shared = {}
+    for found in of.values():
+        for y in range(1, len(found)):
+            for x in range(y):
+                shared[found[x], found[y]] = shared.get((found[x], found[y]), 0) + 1
+    edges = [(x, y) for (x, y), n in shared.items() if 10 * n >= 8 * (len(sets[x]) + len(sets[y]) - n)]
+    roots, least = reachable(range(len(rows)), edges), {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[roots[k]] = min(least.get(roots[k], i), i)
+    return [least.get(roots[k]) for k in range(len(rows))], edges
+
+
 @pytest.mark.parametrize("block", [512, 3])
 def test_similar_texts_are_one(spark, odd, words, block, monkeypatch):
     """The pipeline's second stage against the similarity of all pairs; a chain of near copies is one component."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(shingled, "BLOCK", block)
     rnd = random.Random(10)
     texts = []
     for k in range(12):
@@ -125,26 +198,16 @@ def test_similar_texts_are_one(spark, odd, words, block, monkeypatch):
     ids = [1000 - k for k in range(len(texts))]
     ids[3] = None
 
-    def grams(text):
-        w = (text or "").encode().lower().split()
-        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else {tuple(w)}
-
-    sets = [grams(t) for t in texts]
-    edges = [(x, y) for y in range(len(sets)) for x in range(y) if 10 * len(sets[x] & sets[y]) >= 8 * len(sets[x] | sets[y])]
-    far = [(x, y) for x, y in edges if sets[x] != sets[y] and bin((simhash.fingerprint(texts[x]) ^ simhash.fingerprint(texts[y])) % (1 << 64)).count("1") > 3]
+    least, edges = brute_similar(list(zip(ids, texts, strict=True)))
+    far = [(x, y) for x, y in edges if texts[x] != texts[y] and bin((simhash.fingerprint(texts[x]) ^ simhash.fingerprint(texts[y])) % (1 << 64)).count("1") > 3]
     assert len(far) > 5
-    roots = reachable(range(len(texts)), edges)
-    least = {}
-    for k, i in enumerate(ids):
-        if i is not None:
-            least[roots[k]] = min(least.get(roots[k], i), i)
     docs = odd(texts, ids)
-    got = sorted((tuple(r) for r in jaccard.near_duplicates(docs).collect()), key=str)
-    assert got == sorted(((i, least.get(roots[k])) for k, i in enumerate(ids)), key=str)
+    got = sorted((tuple(r) for r in shingled.near_duplicates(docs).collect()), key=str)
+    assert got == sorted(zip(ids, least, strict=True), key=str)
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert kept.columns == docs.columns
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(i) for k, i in enumerate(ids) if i is None or least[roots[k]] == i)
-    assert jaccard.near_duplicates(docs.limit(0)).count() == 0
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(i) for k, i in enumerate(ids) if i is None or least[k] == i)
+    assert shingled.near_duplicates(docs.limit(0)).count() == 0
 
 
 def brute_repeats(rows):
