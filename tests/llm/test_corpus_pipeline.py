@@ -11,7 +11,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 def test_run(spark):
-    from test_duplicates import brute_components, brute_repeats
+    from test_duplicates import brute_repeats, brute_similar
     from test_scans import brute_targets, brute_tiles
 
     got = sorted((r["doc_id"], r["text"], r["source"], r["n_chars"]) for r in corpus_pipeline.run(spark, FOLDER).collect())
@@ -22,7 +22,7 @@ def test_run(spark):
     names, scores = language.identify(net, [rows[i]["text"] for i in ids])
     kept = {i: rows[i]["text"] for i, n, s in zip(ids, names, scores, strict=True) if n != "und" and s >= language.LEAST}
     assert len(kept) > 0.98 * len(rows)
-    kept = {i: kept[i] for i, _, least in brute_components(list(kept.items())) if least == i}
+    kept = {i: kept[i] for i, least in zip(kept, brute_similar(list(kept.items()))[0], strict=True) if least == i}
     kept = {i: text if removed else kept[i] for i, _, removed, _, text in brute_repeats(list(kept.items())) if not removed or text}
     items = [seeds.tokens(r["text"]) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
 
