@@ -3,7 +3,11 @@
 Three rounds of random signs and a fast Hadamard transform turn a vector about; its bucket in a table is the signed axis nearest to what
 comes out. A query probes the nearest `probes` axes of each table. Who shares a bucket is scored exactly on the original vectors, in
 double precision. A bucket is dealt out in blocks of vectors by blocks of queries, so a crowded one neither fills a task nor makes pairs:
-each block returns its best `k` of each query. Queries that find fewer than k others are searched for again over all buckets of one table.
+each block returns its best `k` ids of each query. Queries that find fewer than k others are searched for again over all buckets of one table.
+
+Recall of the 20 nearest against the share of pairs that is scored (repeats counted; near-uniform unit vectors of 64 components, whose 20th nearest has a
+cosine of 0.29 and 0.43), on 2,000 and 51,282 vectors: 8 tables of 14 probes 0.96 and 0.99 for 88 %; 16 of 5: 0.94 and 0.99 for 63 %; 24 of 3: 0.93
+and 0.99 for 56 %; 32 of 2: 0.92 and 0.98 for 50 %; 48 of 1: 0.87 and 0.97 for 38 %. Each table is one more copy of the vectors.
 
 Buckets go by angle, nearness by inner product: recall holds for vectors of about equal length. Of differing ones, long vectors at a wide angle are missed.
 """
@@ -17,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import stage
+from palimpsest.llm.common import stage, unstage
 
 #: Tables, axes probed in each, neighbours; vectors and queries of a block.
-TABLES, PROBES, K = 8, 14, 20
+TABLES, PROBES, K = 16, 5, 20
 VECTORS, QUERIES = 8192, 2048
 SEED = 20
 
@@ -58,9 +62,12 @@ def _usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(vector, lambda x: x != 0)
 
 
-def _spread(ids: np.ndarray) -> np.ndarray:
-    x = ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (x ^ (x >> np.uint64(31))) >> np.uint64(20)
+def _spread(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Dealt by id, vector and place in the batch, as one id, or one vector, may have any share of the rows."""
+    turn = np.random.default_rng(SEED).integers(0, 1 << 63, x.shape[1], np.uint64) * np.uint64(2) + np.uint64(1)
+    h = (x.view(np.uint64) * turn).sum(axis=1, dtype=np.uint64) ^ ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return (h ^ (h >> np.uint64(32))) + np.arange(len(ids), dtype=np.uint64)
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -68,7 +75,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def _hashed(dim: int, tables: int, probes: int, blocks: np.ndarray | None):
-    """(vec_id, vector, query) -> rows by group: one a table for each vector, one a table and probe for each query.
+    """(vec_id, vector, query) -> rows by group: of a vector one a table, of a query one a table and probe.
 
     blocks[2, tables, axes]: in how many blocks a bucket's queries (0) and vectors (1) are dealt; None: only what would go where.
     """
@@ -79,19 +86,18 @@ def _hashed(dim: int, tables: int, probes: int, blocks: np.ndarray | None):
             for lo in range(0, whole.num_rows, 1024):
                 batch = whole.slice(lo, 1024)
                 ids, x, asks = batch.column(0).to_numpy(), _matrix(batch.column(1), dim), batch.column(2).to_numpy(zero_copy_only=False)
-                unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+                unit, deal = x / np.linalg.norm(x, axis=1, keepdims=True), _spread(ids, x)
                 for table in range(tables):
-                    near = axes(unit, table, 1)[:, 0]
-                    probed = axes(unit[asks], table, probes)
-                    for role, axis, rows in ((0, probed.ravel(), np.repeat(np.nonzero(asks)[0], probed.shape[1])), (1, near, np.arange(len(ids)))):
+                    for role, rows in ((0, np.nonzero(asks)[0]), (1, np.nonzero(~asks)[0])):
                         if not len(rows):
                             continue
-                        bucket = np.int64(table) * width + axis
+                        axis = axes(unit[rows], table, 1 if role else probes)
+                        rows, bucket = np.repeat(rows, axis.shape[1]), np.int64(table) * width + axis.ravel()
                         if blocks is None:
                             found, many = np.unique(bucket, return_counts=True)
                             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), role, np.int32)), pa.array(found), pa.array(many.astype(np.int64))], ["role", "bucket", "many"])
                             continue
-                        own = (_spread(ids[rows]) % blocks[role].ravel()[bucket].astype(np.uint64)).astype(np.int64)
+                        own = (deal[rows] % blocks[role].ravel()[bucket].astype(np.uint64)).astype(np.int64)
                         times = blocks[1 - role].ravel()[bucket]  # to each block of the other side
                         pick = np.repeat(np.arange(len(rows)), times)
                         other = np.arange(len(pick)) - (np.cumsum(times) - times)[pick]
@@ -105,24 +111,38 @@ def _hashed(dim: int, tables: int, probes: int, blocks: np.ndarray | None):
 
 
 def _best(asks: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of `vectors` for each query, without its own id: (query ids, vec ids, scores)."""
+    """The k best ids of `vectors` for each query, without its own: (query ids, vec ids, scores). Of several vectors of an id the best counts."""
+    order = np.argsort(ids, kind="stable")
+    ids, vectors = ids[order], vectors[order]
     rough = queries @ vectors.T
     rough[asks[:, None] == ids[None, :]] = -np.inf
-    if rough.shape[1] > k:
-        least = np.partition(rough, rough.shape[1] - k, axis=1)[:, rough.shape[1] - k]
-        slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))
-        rows, columns = np.nonzero((rough >= (least - slack)[:, None]) & (rough > -np.inf))
-    else:
-        rows, columns = np.nonzero(rough > -np.inf)
+    first = np.nonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))[0]
+    own = np.maximum.reduceat(rough, first, axis=1) if len(first) < len(ids) else rough  # of each id
+    slack = lambda x: 1e-9 * (1 + np.abs(np.where(np.isfinite(x), x, 0)))
+    good = own > -np.inf
+    if own.shape[1] > k:
+        least = np.partition(own, own.shape[1] - k, axis=1)[:, own.shape[1] - k]
+        good &= own >= (least - slack(least))[:, None]
+    if own is rough:
+        rows, columns = np.nonzero(good)
+    else:  # of an id's vectors only those that may be its best
+        of = np.cumsum(np.bincount(first, minlength=len(ids))) - 1
+        rows, columns = np.nonzero(good[:, of] & (rough >= (own - slack(own))[:, of]))
     score = np.empty(len(rows))
     for lo in range(0, len(rows), 1 << 14):  # in one fixed order, as a product's blocks differ in the last bit
         part = slice(lo, lo + (1 << 14))
         score[part] = (queries[rows[part]] * vectors[columns[part]]).sum(axis=1)
-    order = np.lexsort((ids[columns], -score, rows))
-    rows, columns, score = rows[order], columns[order], score[order]
+    found = ids[columns]
+    if own is not rough:
+        order = np.lexsort((-score, found, rows))
+        rows, found, score = rows[order], found[order], score[order]
+        keep = np.concatenate([[True], (rows[1:] != rows[:-1]) | (found[1:] != found[:-1])])[: len(rows)]
+        rows, found, score = rows[keep], found[keep], score[keep]
+    order = np.lexsort((found, -score, rows))
+    rows, found, score = rows[order], found[order], score[order]
     start = np.searchsorted(rows, np.arange(len(asks)))
     keep = np.arange(len(rows)) - start[rows] < k
-    return asks[rows[keep]], ids[columns[keep]], score[keep]
+    return asks[rows[keep]], found[keep], score[keep]
 
 
 def _searched(dim: int, k: int):
@@ -157,11 +177,12 @@ def _searched(dim: int, k: int):
     return run
 
 
-def _search(rows: DataFrame, dim: int, kind: str, tables: int, probes: int, k: int) -> DataFrame:
-    """rows(vec_id, vector, query boolean) -> (query_id, vec_id, score), the best found of each query."""
+def _search(vectors: DataFrame, queries: DataFrame, dim: int, kind: str, tables: int, probes: int, k: int) -> DataFrame:
+    """Both (vec_id, vector) -> (query_id, vec_id, score), the best found of each query."""
     width = 2 << max(0, (dim - 1).bit_length())
     probes = min(probes, width)
     blocks = np.ones((2, tables, width), np.int64)
+    rows = vectors.select("vec_id", "vector", F.lit(False).alias("query")).unionByName(queries.select("vec_id", "vector", F.lit(True).alias("query")))
     counts = rows.mapInArrow(_hashed(dim, tables, probes, None), "role int, bucket long, many long").groupBy("role", "bucket").agg(F.sum("many").alias("many"))
     for r in counts.collect():  # 2 * tables * width rows at most
         blocks[r["role"]].ravel()[r["bucket"]] = -(-r["many"] // (VECTORS if r["role"] else QUERIES))
@@ -175,24 +196,33 @@ def _search(rows: DataFrame, dim: int, kind: str, tables: int, probes: int, k: i
 def neighbours(table: DataFrame, query: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = K, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """For each row where `query` holds, its k nearest others found: (query_id, rank from 1, vec_id, score), ties to the smaller vec_id.
 
-    Near is a large inner product; recall holds for vectors of about equal length and is less where lengths differ. Rows without an id, and vectors that are null, empty, zero or hold a null or non-finite number, take no
-    part, neither do vectors of other than the most frequent length. All rows of one id are its own: a query never finds its own id, and of
-    several vectors of one id the best score counts. With fewer than k other rows all are returned; an empty table gives no rows.
+    Near is a large inner product; recall holds for vectors of about equal length and is less where lengths differ. Rows without an id, and vectors that
+    are null, empty, zero or hold a null or non-finite number, take no part. Vectors of different numbers of components have no inner product: each number
+    is searched by itself, one after the other. All rows of one id are its own: a query never finds its own id, repeated rows are one query, and of several
+    vectors of one id the best score counts. With fewer than k other ids all are returned; an empty table gives no rows. Other columns are ignored.
     """
     rows = table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("vector"), F.coalesce(query, F.lit(False)).alias("query"))
     rows = rows.where(F.col("vec_id").isNotNull() & _usable(F.col("vector")))
-    lengths = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.col("count").desc(), "n").first()
-    spark = table.sparkSession
-    if lengths is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, kind = lengths["n"], rows.schema["vector"].dataType.simpleString()
-    rows = rows.where(F.size("vector") == dim)
-    found = stage(_search(rows, dim, kind, tables, probes, k), "nearest")
-    enough = found.where(F.col("rank") == k).select(F.col("query_id").alias("__done"))
-    short = rows.where("query").join(enough, F.col("vec_id") == F.col("__done"), "left_anti")
-    again = stage(short.select("vec_id").distinct(), "short")
-    if not again.first():
-        return found
-    marked = rows.join(again.select(F.col("vec_id").alias("__again")), F.col("vec_id") == F.col("__again"), "left")
-    rest = _search(marked.select("vec_id", "vector", F.col("__again").isNotNull().alias("query")), dim, kind, 1, 1 << 30, k)
-    return found.join(again.withColumnRenamed("vec_id", "query_id"), "query_id", "left_anti").unionByName(rest)
+    dims = sorted(r["n"] for r in rows.groupBy(F.size("vector").alias("n")).agg(F.max("query").alias("asked")).where("asked").collect())
+    spark, kind, out = table.sparkSession, rows.schema["vector"].dataType.simpleString(), None
+    for dim in dims:
+        vectors = rows.where(F.size("vector") == dim).select("vec_id", "vector")
+        asked = stage(rows.where((F.size("vector") == dim) & F.col("query")).groupBy("vec_id", "vector").agg(F.count("*").alias("n")).select("vec_id", "vector"), "queries")
+        found = stage(_search(vectors, asked, dim, kind, tables, probes, k), "nearest")
+        enough = found.where(F.col("rank") == k).select(F.col("query_id").alias("__done"))
+        short = stage(asked.join(enough, F.col("vec_id") == F.col("__done"), "left_anti"), "short")
+        if short.first():
+            rest = stage(_search(vectors, short, dim, kind, 1, 1 << 30, k), "rest")
+            again = short.select(F.col("vec_id").alias("__again")).distinct()
+            found = found.join(again, F.col("query_id") == F.col("__again"), "left_anti").unionByName(rest)
+        else:
+            unstage(short)
+        out = found if out is None else _better(out, found, k)
+    return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double") if out is None else out
+
+
+def _better(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
+    """Of an id with queries of several numbers of components, the best of all."""
+    best = a.unionByName(b).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -231,11 +231,31 @@ def test_neighbours_of_odd_vectors(spark, monkeypatch):
             got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
         # so small a table leaves queries short, and these are searched for in full
         assert {q: [(i, s) for _, i, s in sorted(v)] for q, v in got.items()} == {q: [(i, -s) for s, i in v] for q, v in brute_neighbours(used).items()}
+    # each number of components by itself
+    assert {(r["query_id"], r["vec_id"]) for r in neighbours.neighbours(table.where("vec_id = 140").unionByName(spark.createDataFrame([(7, [2.0], "x"), (0, [1.0, 1.0, 0.5], "x"), (3, [1.0, 2.0, 0.5], "x")], table.schema)), F.col("vec_id") % 20 == 0).collect()} == {(140, 7), (0, 3)}
     few = table.where("vec_id < 5")
     assert neighbours.neighbours(few, F.col("vec_id") % 20 == 0).count() == 4
     assert neighbours.neighbours(table.where("vec_id = 60"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("block", [8192, 3])
+def test_neighbours_of_repeated_ids(spark, monkeypatch, block):
+    """Repeated rows of an id, equal or not, take one place, and push no other id out."""
+    monkeypatch.setattr(neighbours, "VECTORS", block)
+    monkeypatch.setattr(neighbours, "QUERIES", block)
+    rng = np.random.default_rng(4)
+    near = [(7, [1.0, 0.0, 0.0, 0.0])] * 30 + [(7, [0.9, 0.0, 0.1, 0.0])] * 5 + [(k, [1.0 - k / 1000, 0.0, 0.0, 0.0]) for k in range(100, 140)] + [(0, [1.0, 0.0, 0.0, 0.0])] * 6
+    far = [(1000 + 2 * k + 1, x.tolist()) for k, x in enumerate(rng.standard_normal((60, 4)) / 10)]
+    for rows in (near, near + far):
+        found = neighbours.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") == 0).collect()
+        best = {}
+        for i, x in rows:
+            if i:
+                best[i] = max(best.get(i, -9.0), x[0])
+        want = sorted(best, key=lambda i: (-best[i], i))[:20]
+        assert [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"])] == want and [r["rank"] for r in sorted(found, key=lambda r: r["rank"])] == list(range(1, 21))
+
+
 PAGES = [(1, "http://a", "x" * 200), (2, "http://b\r\nX: y", "x" * 200), (3, "http://c", "y"), (4, None, "y"), (None, "http://e", "x" * 200), (5, "u", None), (6, "ü", "é" * 60), (7, "", "é" * 60), (1, "http://a", "x" * 200), (8, "long", "z\r\n\r\nWARC/1.1\r\n" * 20000)]
 
 
