@@ -9,7 +9,7 @@ import time
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _LIBC = ctypes.CDLL(None)
@@ -31,7 +31,7 @@ def word_count(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset, as in tests."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset and everything runs on one machine, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
@@ -39,6 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
     own = context._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get().rstrip("/")
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="palimpsest-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -62,12 +64,56 @@ def unstage(*frames: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
+def set_default(spark: SparkSession, key: str, value: str) -> None:
+    """Set what the user hasn't. It stays set: frames are planned when they are used, which is after the operator has returned."""
+    if not spark._jsparkSession.sessionState().conf().contains(key):
+        spark.conf.set(key, value)
+
+
 def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
-    """Rows of documents are long: let Spark close an Arrow batch at some MB, not at so many rows, so that a worker's memory is bounded."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int(spark.conf.get(key).removesuffix("b"))
-    if now <= 0 or now > most:
-        spark.conf.set(key, f"{most}b")
+    """Rows of documents are long: let Spark close an Arrow batch at some MB, not at so many rows, so that a worker's memory is bounded.
+
+    A user's own spark.sql.execution.arrow.maxBytesPerBatch is left as it is.
+    """
+    set_default(spark, "spark.sql.execution.arrow.maxBytesPerBatch", f"{most}b")
+
+
+def keep_bytes(spark: SparkSession, data: bytes, path: str) -> None:
+    """Write a small object, such as a network's weights, where Spark writes."""
+    spark.createDataFrame([(bytearray(data),)], "data binary").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def kept_bytes(spark: SparkSession, path: str) -> bytes:
+    return bytes(spark.read.parquet(path).first()["data"])
+
+
+def sample(rows: DataFrame, per_label: int, most_bytes: int) -> list[tuple[str, object]]:
+    """rows(doc_id, label, text) -> (text, label)s to learn from: whole texts of at most `per_label` ids of each label, picked by a hash of the id.
+
+    An id gives one text for each of its labels, however often it repeats. Of one label's texts, in order of the hash, those are taken that together have
+    at most an equal part of `most_bytes`: so the driver's memory is bounded however long texts are. Null texts and labels don't count.
+    """
+    rows = rows.where(F.col("label").isNotNull() & F.col("text").isNotNull())
+    many = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.approx_count_distinct("doc_id").alias("n")).collect()}
+    if not many:
+        return []
+    at = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1 << 30))
+    share = F.element_at(F.create_map(*(F.lit(x) for k, n in many.items() for x in (k, min(1.0, 1.5 * per_label / max(1, n))))), F.col("label"))
+    named = rows.where(at < share * (1 << 30)).select("doc_id", "label", at.alias("at"), F.struct(F.xxhash64("text").alias("h"), F.octet_length("text").alias("size")).alias("of"))
+    named = named.groupBy("doc_id", "label", "at").agg(F.min("of").alias("of"))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("at", "doc_id"))  # of each label's share
+    picked, total = [], dict.fromkeys(many, 0)
+    for r in named.withColumn("rank", rank).where(F.col("rank") <= per_label).orderBy("at", "doc_id", "label").collect():
+        if total[r["label"]] + r["of"]["size"] <= most_bytes // len(many):
+            total[r["label"]] += r["of"]["size"]
+            picked.append((r["doc_id"], r["label"], r["of"]["h"], len(picked)))
+    if not picked:
+        return []
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    chosen = rows.sparkSession.createDataFrame(picked, f"__id {kinds['doc_id']}, __label {kinds['label']}, __h long, __n int")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("label") == F.col("__label")) & (F.xxhash64("text") == F.col("__h"))
+    found = rows.join(F.broadcast(chosen), same).groupBy("__n", "label").agg(F.first("text").alias("text")).orderBy("__n").collect()  # a row for each picked
+    return [(r["text"], r["label"]) for r in found]
 
 
 def trim() -> None:

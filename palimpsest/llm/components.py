@@ -14,7 +14,7 @@ def _signature(edges: DataFrame) -> tuple:
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """edges(a long, b long), any orientation, repeats and loops allowed -> (node, root): one row for each node that isn't the smallest of its component.
+    """edges(a long, b long), any orientation, repeats and loops allowed -> (node, root), staged: one row for each node that isn't the smallest of its component.
 
     A node without links has no row. The aggregation before each join leaves one row a node, and the join's other side is a scan,
     so that adaptive execution can split a hub's partition.
@@ -32,4 +32,6 @@ def connected(edges: DataFrame) -> DataFrame:
         now, before, seen = after, seen, _signature(after)
         if seen == before:
             break
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out = now.toDF("node", "root")
+    out._palimpsest_path = now._palimpsest_path
+    return out

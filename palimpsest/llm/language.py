@@ -1,13 +1,13 @@
 """Language identification by a bidirectional gated recurrent network over bytes, in numpy, trained by backpropagation through time.
 
 A text is cut into chunks of bytes that cover all of it. In each chunk one network reads forwards and one backwards; together they give
-each byte a distribution over languages, and the document's is the mean over its bytes. The network learns from a bounded sample of
-labelled rows on the driver; scoring runs over whole texts in Arrow batches, and its memory depends on the batch of chunks alone.
+each byte a distribution over languages, and the document's is the mean over its bytes. At a chunk's ends states start from zero: what is lost there is
+small, as languages show in a few letters. The network learns from the whole texts of a bounded sample of labelled rows on the driver; scoring runs over whole texts in Arrow batches, and its memory depends on the batch of chunks alone.
 """
 
 from __future__ import annotations
 
-import re
+import io
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,18 +15,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import bounded_batches, encode
+from palimpsest.llm.common import bounded_batches, encode, sample
 
 #: Units each way, bytes of a chunk when scoring and when learning, chunks at once.
 UNITS, CHUNK, LEARN_CHUNK, AT_ONCE = 8, 128, 64, 1024
-#: The learning sample: at most so many rows of a language, and so many characters from anywhere in each.
-PER_LANGUAGE, SAMPLE_CHARS = 250, 20_000
+#: The learning sample: whole texts of at most so many ids of a language, and of so many bytes in all.
+PER_LANGUAGE, SAMPLE_BYTES = 250, 64 << 20
 STEPS, BATCH, RATE = 350, 192, 0.02
 #: What texts without a letter are, and the least probability that `accepted` asks for.
 LEAST = 0.35
 UNDETERMINED = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+
+def has_letter(text: str | None) -> bool:
+    """Whether any character is a letter (category L): digits, raised digits, fractions and numbers in circles aren't."""
+    return bool(text) and any(map(str.isalpha, text))
 
 
 @dataclass
@@ -46,6 +49,17 @@ class Network:
         draw = lambda scale, *shape: (rng.standard_normal(shape) * scale).astype(np.float32)
         return cls(names, draw(0.3, 2, 256, 3 * units), draw(units**-0.5, 2, units, 3 * units), np.zeros((2, units), np.float32), draw(0.3, 2, units, len(names)), np.zeros(len(names), np.float32))
 
+    def dumps(self) -> bytes:
+        """The weights, to be stored: learning needn't be repeated."""
+        out = io.BytesIO()
+        np.savez(out, np.array(self.names), *self.weights())
+        return out.getvalue()
+
+    @classmethod
+    def loads(cls, data: bytes) -> Network:
+        with np.load(io.BytesIO(data)) as of:
+            return cls(of["arr_0"].tolist(), *(of[f"arr_{k}"] for k in range(1, 6)))
+
     def weights(self) -> list[np.ndarray]:
         return [self.table, self.turn, self.lift, self.out, self.base]
 
@@ -156,7 +170,7 @@ def learn(texts: list[str], labels: list[str], steps: int = STEPS, seed: int = 1
     net = Network.fresh(names, seed=seed)
     of = [[] for _ in names]
     for text, label in zip(texts, labels, strict=True):
-        if _LETTER.search(text):
+        if has_letter(text):
             of[names.index(label)].append(_chunked(encode(text), LEARN_CHUNK))
     pools = [np.concatenate(x) if x else np.zeros((1, LEARN_CHUNK), np.uint8) for x in of]
     rng = np.random.default_rng(seed)
@@ -198,7 +212,7 @@ def identify(net: Network | None, texts: list[str | None]) -> tuple[list[str], l
         held, owners, count = [], [], 0
 
     for i, text in enumerate(texts):
-        if text and _LETTER.search(text):
+        if has_letter(text):
             chunks = _chunked(encode(text), CHUNK)
             held.append(chunks)
             owners.append(np.full(len(chunks), i))
@@ -219,29 +233,10 @@ def remainder(doc_id: Column, by: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % by
 
 
-def sample(docs: DataFrame, doc_id: str, text: str, label: str, per_label: int) -> list[tuple[str, str]]:
-    """At most `per_label` (text, label) rows of each label, picked by a hash of the id; of long texts a stretch that the hash picks."""
-    counts = {r[label]: r["count"] for r in docs.groupBy(label).count().collect()}
-    if not counts:
-        return []
-    at = F.pmod(F.xxhash64(F.lit("sample"), F.col(doc_id)), F.lit(1 << 30))
-    share = F.element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.3 * per_label / n)))), F.col(label))
-    start = 1 + F.pmod(at, F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(1)))
-    rows = docs.where(at < share * (1 << 30)).select(at.alias("at"), F.col(label).alias("label"), F.substring(F.col(text), start.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
-    rows = rows.orderBy("at").limit(2 * per_label * len(counts)).collect()  # about 1.3 of each label, whatever id repeats how often
-    taken: dict[str, int] = {}
-    out = []
-    for r in sorted(rows, key=lambda r: (r["at"], str(r["label"]), r["text"])):
-        taken[r["label"]] = taken.get(r["label"], 0) + 1
-        if taken[r["label"]] <= per_label:
-            out.append((r["text"], r["label"]))
-    return out
-
-
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Network | None:
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, most_bytes: int = SAMPLE_BYTES) -> Network | None:
     """Learn from the rows with a text and a language whose id's crc32 leaves no 1 modulo 3; None if there are none."""
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (remainder(F.col(doc_id), 3) != 1))
-    rows = sample(known, doc_id, text, lang, per_language)
+    known = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("label"), F.col(text).alias("text")).where(remainder(F.col("doc_id"), 3) != 1)
+    rows = sample(known, per_language, most_bytes)
     return learn([t for t, _ in rows], [k for _, k in rows]) if rows else None
 
 
@@ -262,20 +257,23 @@ def with_language(docs: DataFrame, net: Network | None, text: str = "text", name
     return docs.withColumn(name, predicted(F.col(text)))
 
 
-def languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", net: Network | None = None) -> DataFrame:
     """One row for each row of docs: (doc_id, held_out, lang_pred, score).
 
     held_out: crc32 of the id modulo 3 is 1; such rows aren't learned from, nor are those without id, text or language. lang_pred is a
     learned language, or `und` with score 0 for texts that are null or have no letter, and everywhere if nothing could be learned.
-    Repeated rows score alike; an empty table gives no rows; other columns are ignored.
+    Repeated rows score alike; an empty table gives no rows; other columns are ignored. Of very long texts every byte counts. net: a network that
+    was learned before; else one is learned here.
     """
-    net = fit(docs, doc_id, text, lang)
+    net = net or fit(docs, doc_id, text, lang)
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(remainder(F.col(doc_id), 3) == 1, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
     return with_language(plain, net).select("doc_id", "held_out", F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
 
 
-def accepted(docs: DataFrame, least: float = LEAST, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def accepted(docs: DataFrame, least: float = LEAST, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", net: Network | None = None) -> DataFrame:
     """The rows of docs, columns unchanged, whose language is determined with a probability of at least `least`."""
-    net = fit(docs, doc_id, text, lang)
-    known = (F.col("__language.lang") != UNDETERMINED) & (F.col("__language.score") >= least)
-    return with_language(docs, net, text, "__language").where(known).drop("__language")
+    net = net or fit(docs, doc_id, text, lang)
+    plain = [f"c{k}" for k in range(len(docs.columns))]
+    named = with_language(docs.toDF(*plain), net, plain[docs.columns.index(text)], "language")
+    known = (F.col("language.lang") != UNDETERMINED) & (F.col("language.score") >= least)
+    return named.where(known).select(*plain).toDF(*docs.columns)

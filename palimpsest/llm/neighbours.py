@@ -214,9 +214,10 @@ def neighbours(table: DataFrame, query: Column, vec_id: str = "vec_id", vector:
         if short.first():
             rest = stage(_search(vectors, short, dim, kind, 1, 1 << 30, k), "rest")
             again = short.select(F.col("vec_id").alias("__again")).distinct()
-            found = found.join(again, F.col("query_id") == F.col("__again"), "left_anti").unionByName(rest)
-        else:
-            unstage(short)
+            all_found = stage(found.join(again, F.col("query_id") == F.col("__again"), "left_anti").unionByName(rest), "nearest")
+            unstage(found, rest)
+            found = all_found
+        unstage(asked, short)
         out = found if out is None else _better(out, found, k)
     return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double") if out is None else out
 

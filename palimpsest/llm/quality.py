@@ -2,13 +2,13 @@
 
 A text's bytes are cut into overlapping chunks that cover all of it. Learned filters slide over each chunk's embedded bytes; a filter's
 answer in a chunk is its greatest (max-pooling). Over the chunks of a text the mean and the greatest answer of each filter go into one
-logistic unit, which gives the probability that the text is of label 1. The network learns from a bounded sample of labelled rows on the
-driver; scoring runs over whole texts in Arrow batches.
+logistic unit, which gives the probability that the text is of label 1. The network learns from the whole texts of a bounded sample of labelled rows on
+the driver; scoring runs over whole texts in Arrow batches.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import io
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import bounded_batches, encode
+from palimpsest.llm.common import bounded_batches, encode, sample
 from palimpsest.llm.language import remainder
 
 #: Dimensions of a byte, bytes under a filter, filters; bytes of a chunk and from one chunk's start to the next's; chunks at once.
 DIM, WIDTH, FILTERS = 4, 8, 16
 CHUNK, STEP, AT_ONCE = 512, 448, 64
-#: The learning sample: at most so many rows of a label, and so many characters from anywhere in each; passes over it, and steps at least.
-PER_LABEL, SAMPLE_CHARS = 1500, 20_000
+#: The learning sample: whole texts of at most so many ids of a label, and of so many bytes in all; passes over it, and steps at least.
+PER_LABEL, SAMPLE_BYTES = 1500, 32 << 20
 PASSES, BATCH, RATE, LEAST_STEPS = 8, 32, 0.01, 150
 #: From which score on a text is predicted to be of label 1.
 THRESHOLD = 0.7
@@ -52,6 +52,17 @@ class Network:
         draw = lambda scale, *shape: (rng.standard_normal(shape) * scale).astype(np.float32)
         return cls(draw(1.0, 256, DIM), draw((WIDTH * DIM) ** -0.5, WIDTH * DIM, FILTERS), np.zeros(FILTERS, np.float32), draw(0.1, 2 * FILTERS), np.zeros(1, np.float32))
 
+    def dumps(self) -> bytes:
+        """The weights, to be stored: learning needn't be repeated."""
+        out = io.BytesIO()
+        np.savez(out, *self.weights())
+        return out.getvalue()
+
+    @classmethod
+    def loads(cls, data: bytes) -> Network:
+        with np.load(io.BytesIO(data)) as of:
+            return cls(*(of[f"arr_{k}"] for k in range(5)))
+
     def weights(self) -> list[np.ndarray]:
         return [self.embed, self.filters, self.lift, self.mix, self.base]
 
@@ -80,7 +91,7 @@ class Network:
             return np.zeros(0)
         answers = np.concatenate([self.answers(x)[0] for x in _joined(held)])
         logit = self.pooled(answers, np.array([len(x) for x in held])).astype(np.float64) @ self.mix + self.base[0]
-        return 1 / (1 + np.exp(-np.clip(logit, -60, 60)))
+        return np.round(1 / (1 + np.exp(-np.clip(logit, -60, 60))), 9)
 
     def gradients(self, held: list[np.ndarray], labels: np.ndarray, weight: np.ndarray) -> tuple[float, list[np.ndarray]]:
         """Weighted mean cross-entropy of a batch of texts and its gradient."""
@@ -143,49 +154,40 @@ def learn(texts: list[str], labels: list[int], share: float | None = None, passe
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 w -= rate * (m / (1 - 0.9**done)) / (np.sqrt(v / (1 - 0.99**done)) + 1e-8)
+    for w in (net.embed, net.filters):  # few enough bits for exact sums: a text then scores alike wherever in a batch it lies
+        np.clip(np.rint(w * 64) / 64, -8, 8, out=w)
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", per_label: int = PER_LABEL) -> Network | None:
-    """Learn from the labelled rows whose id's crc32 leaves no 2 modulo 4: at most `per_label` of each label, picked by a hash of the id.
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", per_label: int = PER_LABEL, most_bytes: int = SAMPLE_BYTES) -> Network | None:
+    """Learn from the labelled rows whose id's crc32 leaves no 2 modulo 4: at most `per_label` ids of each label, picked by a hash of the id.
 
     Ids that are labelled both ways don't count. None if either label is missing.
     """
-    spark = docs.sparkSession
-    at = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30))
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(quality).cast("int").alias("label")).where(F.col("label").isin(0, 1) & (remainder(F.col("doc_id"), 4) != 2))
-    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    counts = {r["label"]: r for r in known.groupBy("label").agg(F.count("*").alias("n"), F.approx_count_distinct("doc_id").alias("ids")).collect()}
     if len(counts) < 2:
         return None
-    most = F.when(F.col("label") == 1, F.lit(min(1.0, 1.3 * per_label / counts[1]))).otherwise(F.lit(min(1.0, 1.3 * per_label / counts[0])))
-    picked: dict[int, set[int]] = {}
-    for r in known.where(at < most * (1 << 30)).distinct().orderBy(at).limit(4 * per_label).collect():
-        picked.setdefault(r["doc_id"], set()).add(r["label"])
-    ids = spark.createDataFrame([(i, k.pop()) for i, k in sorted(picked.items()) if len(k) == 1], "doc_id long, label int")
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(ids), "doc_id")  # at most 2.6 * per_label rows, about
-    start = 1 + F.pmod(at, F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1)))
-    rows = own.select(at.alias("at"), "label", F.substring("text", start.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
-    rows = rows.orderBy("at").limit(4 * per_label).collect()  # whatever id repeats how often
-    taken: Counter = Counter()
-    texts, classes = [], []
-    for r in sorted(rows, key=lambda r: (r["at"], r["text"])):
-        taken[r["label"]] += 1
-        if taken[r["label"]] <= per_label:
-            texts.append(r["text"])
-            classes.append(r["label"])
-    if len(set(classes)) < 2:
+    at = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30))
+    share = [min(1.0, 3.0 * per_label / counts[k]["ids"]) for k in (0, 1)]
+    some = known.where(at < F.when(F.col("label") == 1, F.lit(share[1])).otherwise(F.lit(share[0])) * (1 << 30)).groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most"))
+    own = some.where(F.col("label") == F.col("most")).select(F.col("doc_id").alias("__id"), "label")  # about 3 * per_label ids of each label
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(own), F.col("doc_id") == F.col("__id")).select("doc_id", "label", "text")
+    found = sample(rows, per_label, most_bytes)
+    if len({k for _, k in found}) < 2:
         return None
-    return learn(texts, classes, counts[1] / (counts[0] + counts[1]))
+    return learn([t for t, _ in found], [k for _, k in found], counts[1]["n"] / (counts[0]["n"] + counts[1]["n"]))
 
 
-def scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", per_label: int = PER_LABEL) -> DataFrame:
+def scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", per_label: int = PER_LABEL, net: Network | None = None) -> DataFrame:
     """One row for each row of docs: (doc_id, held_out, score, predicted).
 
     held_out: crc32 of the id modulo 4 is 2; such rows aren't learned from. predicted is 1 where score >= 0.7. Null texts score as empty
     ones. Where the labels teach nothing, every score is 0.5. Repeated rows score alike; an empty table gives no rows; other columns are ignored.
+    Of very long texts every byte counts. net: a network that was learned before; else one is learned here.
     """
     bounded_batches(docs.sparkSession)
-    net = fit(docs, labels, doc_id, text, quality, per_label)
+    net = net or fit(docs, labels, doc_id, text, quality, per_label)
 
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:

@@ -313,7 +313,7 @@ def links(prints: DataFrame, limit: int = MAX_BITS, block: int = BLOCK, hot_keys
 
 def components(first: DataFrame, found: DataFrame, node: str) -> DataFrame:
     """first(node, first id) and links -> (node, component_id), staged: the smallest id that links reach from each node."""
-    roots = stage(connected(found), "roots")
+    roots = connected(found)
     rooted = stage(first.join(roots, first[node] == roots["node"], "left").select(first[node], "first", F.coalesce("root", first[node]).alias("root")), "rooted")
     least = stage(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "components")
     out = stage(rooted.join(least, "root").select(node, "component_id"), "members")

@@ -42,7 +42,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from palimpsest.llm.common import bounded_batches, shared_dir, stage
+from palimpsest.llm.common import bounded_batches, set_default, shared_dir, stage
 
 #: Bytes of a partition when reading, of a file when writing, of payload in a batch.
 PARTITION_BYTES, FILE_BYTES, BATCH_BYTES = 32 << 20, 64 << 20, 4 << 20
@@ -382,7 +382,7 @@ class WarcSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     """Make format("warc") known, with filters pushed down."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    set_default(spark, "spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
 
 
