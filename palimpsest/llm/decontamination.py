@@ -14,12 +14,11 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
-from palimpsest.llm.common import bounded_batches
+from palimpsest.llm.common import bounded_batches, stage, unstage
 from palimpsest.llm.seeds import Seeds, tokens
 
-#: Least tokens of a tile, least share of an item's tokens under tiles, and how many characters of benchmark text one pass carries.
+#: Least tokens of a tile, least share of an item's tokens under tiles, and how many characters of benchmark text are in memory at a time.
 LEAST = 5
 COVERAGE = 0.5
 PASS_CHARS = 8_000_000
@@ -115,48 +114,99 @@ class Tiler:
         return out
 
 
-def _finder(shared: Broadcast, struct: str, arrow: pa.DataType):
-    @F.arrow_udf(struct)
+def scannable(benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", least: int = LEAST) -> DataFrame:
+    """(item_id, tokens, scanned): how many tokens each row of benchmark has, and whether that's enough for its item to be looked for."""
+
+    @F.arrow_udf("int")
+    def counted(texts: pa.Array) -> pa.Array:
+        return pa.array([len(tokens(t)) for t in texts.to_pylist()], pa.int32())
+
+    return benchmark.select(F.col(item_id).alias("item_id"), counted(F.col(item_text)).alias("tokens")).withColumn("scanned", F.col("tokens") >= least)
+
+
+def _passes(benchmark: DataFrame, item_id: str, item_text: str, pass_chars: int) -> tuple[DataFrame, int]:
+    """Distinct item texts (key, text, of), and in how many passes they travel. of: the number of the pass."""
+    items = benchmark.select(F.col(item_text).alias("text")).where("text is not null").groupBy("text").agg(F.count("*").alias("n")).select(F.xxhash64("text").alias("key"), "text")
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    many = 1 if chars <= pass_chars else -(-2 * chars // pass_chars)  # half full, as items are dealt by hash
+    return items.withColumn("of", F.pmod(F.xxhash64("key"), F.lit(many)).cast("int")), many
+
+
+def _broadcast(items: DataFrame, k: int, least: int, coverage: float) -> Broadcast:
+    part = sorted((r["key"], r["text"]) for r in items.where(F.col("of") == k).collect())
+    return items.sparkSession.sparkContext.broadcast(Tiler(part, least, coverage))
+
+
+_FOUND, _ARROW = "array<struct<item:bigint,coverage:double,tiles:int,tokens:int>>", pa.list_(pa.struct([("item", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.int32()), ("tokens", pa.int32())]))
+
+
+def _finder(shared: Broadcast):
+    @F.arrow_udf(_FOUND)
     def found(texts: pa.Array) -> pa.Array:
         rows = []
         for at in range(0, len(texts), 500):
             rows += shared.value.matches(texts.slice(at, 500).to_pylist())
-        keys = ("item_id", "coverage", "tiles", "tokens")
-        return pa.array([[dict(zip(keys, x, strict=True)) for x in row] for row in rows], arrow)
+        return pa.array([[dict(zip(("item", "coverage", "tiles", "tokens"), x, strict=True)) for x in row] for row in rows], _ARROW)
 
     return found
 
 
-def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", name: str = "leaks", least: int = LEAST, coverage: float = COVERAGE, pass_chars: int = PASS_CHARS) -> DataFrame:
-    """docs plus an array column `name` of (item_id, coverage, tiles, tokens) for the benchmark items found in each text.
+def _matches(docs: DataFrame, benchmark: DataFrame, kept: list[str], text: str, item_id: str, item_text: str, least: int, coverage: float, pass_chars: int) -> DataFrame:
+    """docs(kept..., text) -> (kept..., item, coverage, tiles, tokens), item the key of a distinct item text.
 
-    Benchmark text travels with the tasks in passes of about `pass_chars` characters, so its size isn't limited; documents aren't shuffled.
-    Null and empty texts hold no items. Null items and those of fewer than `least` tokens are never found. Repeated items are each found.
-    An empty benchmark gives empty arrays.
+    One pass of items is in memory at a time, on the driver and in a worker: each is broadcast, found and written before the next is fetched. With a
+    single pass nothing is written.
     """
     bounded_batches(docs.sparkSession)
-    items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    passes = max(1, -(-chars // pass_chars))
-    kind = to_arrow_type(items.schema["item_id"].dataType)
-    struct = f"array<struct<item_id:{items.schema['item_id'].dataType.simpleString()},coverage:double,tiles:int,tokens:int>>"
-    arrow = pa.list_(pa.struct([("item_id", kind), ("coverage", pa.float64()), ("tiles", pa.int32()), ("tokens", pa.int32())]))
-    found = []
-    for k in range(passes):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()
-        shared = docs.sparkSession.sparkContext.broadcast(Tiler([(r["item_id"], r["text"]) for r in sorted(part, key=lambda r: (r["item_id"] is None, r["item_id"], r["text"]))], least, coverage))
+    items, many = _passes(benchmark, item_id, item_text, pass_chars)
+    if many > 1:
+        items = stage(items, "items")
+    out = None
+    for k in range(many):
+        shared = _broadcast(items, k, least, coverage)
+        # a plain explode makes Spark look for leaks twice
+        found = docs.select(*kept, F.explode_outer(_finder(shared)(F.col(text))).alias("leak")).where("leak is not null").select(*kept, "leak.*")
+        if many > 1:
+            found = stage(found, "leaks")
+            shared.destroy()
+        out = found if out is None else out.unionByName(found)
+    if many > 1:
+        unstage(items)
+    return out
 
-        found.append(_finder(shared, struct, arrow)(F.col(text)))
-    return docs.withColumn(name, F.concat(*found) if len(found) > 1 else found[0])
 
+def _named(found: DataFrame, benchmark: DataFrame, kept: list[str], item_id: str, item_text: str) -> DataFrame:
+    """Items by their ids: an item text that several ids share is found for each."""
+    ids = benchmark.select(F.col(item_id).alias("item_id"), F.xxhash64(F.col(item_text)).alias("item")).where(F.col(item_text).isNotNull())
+    return found.join(ids, "item").select(*kept, "item_id", "coverage", "tiles", "tokens")
 
-def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
-    """A row for each benchmark item found in a row of docs: (doc_id, item_id, coverage, tiles, tokens). Documents without leaks have no row."""
-    plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(how.pop("text", "text")).alias("text"))
-    found = with_leaks(plain, benchmark, **how).select("doc_id", F.explode_outer("leaks").alias("leak"))  # a plain explode makes Spark look for leaks twice
-    return found.where("leak is not null").select("doc_id", "leak.*")
 
+def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = LEAST, coverage: float = COVERAGE, pass_chars: int = PASS_CHARS) -> DataFrame:
+    """A row for each benchmark item found in a row of docs: (doc_id, item_id, coverage, tiles, tokens). Documents without leaks have no row.
+
+    Benchmark text travels in passes of about `pass_chars` characters, one at a time, so its size isn't limited (a longer item is a pass of its own);
+    documents aren't shuffled, but read once a pass. Null and empty texts hold no items; of very long texts every word counts. Null items and those of
+    fewer than `least` tokens are never found: `scannable` lists them. Repeated items, and repeated rows of docs, are each found. An empty table
+    gives no rows. Other columns are ignored.
+    """
+    plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return _named(_matches(plain, benchmark, ["doc_id"], "text", item_id, item_text, least, coverage, pass_chars), benchmark, ["doc_id"], item_id, item_text)
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of docs in which no benchmark item is found."""
-    return with_leaks(docs, benchmark, name="__leaks", **how).where(F.size("__leaks") == 0).drop("__leaks")
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = LEAST, coverage: float = COVERAGE, pass_chars: int = PASS_CHARS) -> DataFrame:
+    """The rows of docs in which no benchmark item is found, columns unchanged, whatever their names. Null and empty texts stay; repeated rows stay or go alike.
+
+    With one pass of items a document is judged where it is read. With more, each pass writes the digests of texts that leak, and documents are joined
+    against these: a leak depends on a document's text alone.
+    """
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    plain, own = docs.toDF(*names), names[docs.columns.index(text)]
+    bounded_batches(docs.sparkSession)
+    items, many = _passes(benchmark, item_id, item_text, pass_chars)
+    if many == 1:
+        clean = plain.withColumn("leaks", _finder(_broadcast(items, 0, least, coverage))(F.col(own))).where(F.size("leaks") == 0)
+        return clean.select(*names).toDF(*docs.columns)
+    digest = F.sha2(F.coalesce(F.col(own), F.lit("")), 256)
+    found = _matches(plain.select(digest.alias("digest"), F.col(own).alias("text")), benchmark, ["digest"], "text", item_id, item_text, least, coverage, pass_chars)
+    gone = stage(found.select("digest").distinct(), "leaking")
+    return plain.withColumn("own", digest).join(gone, F.col("own") == F.col("digest"), "left_anti").select(*names).toDF(*docs.columns)

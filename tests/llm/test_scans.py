@@ -67,12 +67,42 @@ def test_leaks(spark, odd, words):
     assert got[0, 0]["coverage"] == 1.0 and got[1, 2]["tiles"] == 2 and got[1, 2]["tokens"] == 59
     again = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, benchmark, pass_chars=100).collect()}
     assert again == set(got)
+    assert {r["item_id"]: r["scanned"] for r in decontamination.scannable(benchmark).collect()} == {0: True, 1: True, 2: True, 3: False, 4: True, 7: False, 8: False, 9: True}
+    assert {r["doc_id"] for r in decontamination.without_leaks(docs, benchmark, pass_chars=100).collect()} == {2, 3, 4, 5, 7}
     clean = decontamination.without_leaks(docs, benchmark)
     assert clean.columns == docs.columns and sorted(r["doc_id"] for r in clean.collect()) == [2, 3, 4, 5, 7]
     assert decontamination.leaks(docs.limit(0), benchmark).count() == 0
     assert decontamination.without_leaks(docs, benchmark.limit(0)).count() == len(texts)
 
 
+def test_one_pass_at_a_time(spark, words, monkeypatch):
+    """Of many passes, repeated items among them, each broadcast is gone before the next is made, and no plan holds more than one finder."""
+    items = [(k, " ".join(words(12, k // 3))) for k in range(90)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(k, " ".join(words(30, 500 + k)) + " " + t) for k, t in items[:20]], "doc_id long, text string")
+    alive, most, plans = [], [], []
+    make = decontamination._broadcast
+
+    def counted(given, k, least, coverage):
+        shared = make(given, k, least, coverage)
+        assert sum(len(p) for p in shared.value.seeds.patterns) <= 12 * 8
+        alive.append(shared)
+        most.append(sum(b._path is not None for b in alive))
+        destroy = shared.destroy
+        monkeypatch.setattr(shared, "destroy", lambda: (destroy(), alive.remove(shared)))
+        return shared
+
+    kept = decontamination.stage
+    monkeypatch.setattr(decontamination, "_broadcast", counted)
+    monkeypatch.setattr(decontamination, "stage", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), kept(df, name))[1])
+    found = decontamination.leaks(docs, benchmark, pass_chars=300)
+    got = {(r["doc_id"], r["item_id"]) for r in found.collect()}
+    assert got == {(k, i) for k, t in items[:20] for i, u in items if t == u}
+    assert len(most) > 10 and max(most) == 1 and not alive
+    finders = [p.count("ArrowEvalPython") for p in plans if "ArrowEvalPython" in p]
+    assert len(finders) > 10 and max(finders) == 1 and "ArrowEvalPython" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_patience():
     assert licences.increasing([3, 1, 2, 5, 4]) in ([1, 2, 3], [1, 2, 4])
     assert licences.increasing([]) == []
