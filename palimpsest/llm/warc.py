@@ -1,9 +1,10 @@
 """WARC archives as a PySpark Python data source.
 
 Reading plans partitions of whole files by size. In each file record headers are parsed first; predicates on the record type and on headers
-that Spark pushes down are answered there, and of records that fail them, or whose payload wasn't asked for, the body is skipped: by
+that Spark pushes down are answered there, and of records that fail them, or whose payload wasn't asked for (option `columns`), the body is skipped: by
 Content-Length in plain files, by the member length that our writer puts into each gzip header (subfield `sl`) in compressed ones, and by
-inflating without keeping in others. Writing gives one gzip member a record, in files of bounded size, which only a committed job makes visible.
+inflating without keeping in others, whose members may hold any number of records or a part of one. Writing gives one gzip member a record, in files of
+bounded size. They count once the job has committed: its last step writes one small file that names them, and readers leave out files of ours that none names.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ import re
 import struct
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -42,7 +45,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from palimpsest.llm.common import bounded_batches, set_default, shared_dir, stage
+from palimpsest.llm.common import bounded_batches, set_default, shared_dir, stage, unstage
 
 #: Bytes of a partition when reading, of a file when writing, of payload in a batch.
 PARTITION_BYTES, FILE_BYTES, BATCH_BYTES = 32 << 20, 64 << 20, 4 << 20
@@ -61,9 +64,12 @@ HEADERS = {
     "refers_to": "WARC-Refers-To",
 }
 SCHEMA = "record_id string, warc_type string, target_uri string, date string, content_type string, payload_digest string, payload_length long, refers_to string, headers map<string,string>, file string, offset long, payload binary"
+_COLUMNS = dict(c.rsplit(" ", 1) for c in SCHEMA.replace("map<string,string>", "map<string;string>").split(", "))
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 _CONTROL = re.compile(r"[\x00-\x1f\x7f]")
+#: Files of our writer count only if a file of this beginning and their job's number names them.
+_OURS, _COMMITTED = re.compile(r"part-([0-9a-f]{32})-[0-9a-f]{32}\.warc\.gz"), "_committed-"
 
 
 def place(path: str) -> tuple[fs.FileSystem, str]:
@@ -91,31 +97,47 @@ def member(data: bytes, level: int = 3) -> bytes:
     return struct.pack("<4BIBBH2sHII", 31, 139, 8, 4, 0, 0, 255, 12, b"sl", 8, size, len(data) & 0xFFFFFFFF) + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
+class Fields(dict):
+    """Header values by lower-cased name; `named` has the names as they stand."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.named: dict[str, str] = {}
+
+    @property
+    def length(self) -> int:
+        value = self.get("content-length", "")
+        if not value.isdecimal():
+            raise ValueError(f"a record without a Content-Length: {self.get('warc-record-id')}")
+        return int(value)
+
+
 @dataclass
 class _Head:
     offset: int
-    fields: dict[str, str]
+    fields: Fields
     body: Callable[[bool], bytes]
 
 
-def _fields(head: bytes) -> dict[str, str]:
-    lines = head.decode("utf-8", "surrogatepass").split("\r\n")
+def _fields(head: bytes) -> Fields:
+    lines = head.decode("utf-8", "surrogateescape").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
-    out: dict[str, str] = {}
-    last = None
+    out, last = Fields(), None
     for line in lines[1:]:
+        line = line.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
         if line[:1] in (" ", "\t") and last:  # a folded line goes on
-            out[last] += " " + line.strip()
+            out.named[last] += " " + line.strip()
         elif ":" in line:
             last, _, value = line.partition(":")
             last = last.strip()
-            out[last] = value.strip()
+            out.named[last] = value.strip()
+    out.update({k.lower(): v for k, v in out.named.items()})
     return out
 
 
 def _plain(stream) -> Iterator[_Head]:
-    """Records of an uncompressed file."""
+    """Records of an uncompressed stream. What has a method `skip` is skipped by it, else by seeking."""
     at, held = 0, b""
 
     def more(n: int = 1 << 16) -> bool:
@@ -135,7 +157,7 @@ def _plain(stream) -> Iterator[_Head]:
                 raise ValueError("a record header doesn't end")
         fields = _fields(held[:end])
         start, held = at, held[end + 4 :]
-        length = int(fields["Content-Length"])
+        length = fields.length
         taken = False
 
         def body(wanted: bool, length: int = length) -> bytes:
@@ -145,14 +167,20 @@ def _plain(stream) -> Iterator[_Head]:
                 out, held = held[:length], held[length:]
                 return out
             if not wanted:
-                stream.seek(stream.tell() + length - len(held))
+                if hasattr(stream, "skip"):
+                    stream.skip(length - len(held))
+                else:
+                    stream.seek(stream.tell() + length - len(held))
                 held = b""
                 return b""
-            out = held + stream.read(length - len(held))
+            parts, missing = [held], length - len(held)
+            while missing and (got := stream.read(missing)):
+                parts.append(got)
+                missing -= len(got)
             held = b""
-            if len(out) < length:
+            if missing:
                 raise ValueError("a record is cut off")
-            return out
+            return b"".join(parts)
 
         yield _Head(start, fields, body)
         if not taken:
@@ -160,47 +188,100 @@ def _plain(stream) -> Iterator[_Head]:
         at = start + end + 4 + length
 
 
+class _Inflated:
+    """The gzip members of a file from some place on as one stream of what they hold."""
+
+    def __init__(self, stream, at: int):
+        stream.seek(at)
+        self.stream, self.unpacker, self.held, self.size = stream, None, b"", 0
+        self.at, self.starts, self.members = at, [], []  # of each member, where its content and where itself starts
+
+    def _some(self) -> bytes:
+        """A next piece of content; empty at the end."""
+        while True:
+            packed = self.held or self.stream.read(1 << 14)
+            self.held = b""
+            if self.unpacker is None:
+                packed = packed.lstrip(b"\0") if self.members else packed  # members may be filled up with zeros
+                if not packed:
+                    return b""
+                self.unpacker = zlib.decompressobj(31)
+                self.starts.append(self.size)
+                self.members.append(self.stream.tell() - len(packed))
+            elif not packed:
+                raise ValueError("a gzip member is cut off")
+            out = self.unpacker.decompress(packed, 1 << 18)
+            if self.unpacker.eof:
+                self.held, self.unpacker = self.unpacker.unused_data, None
+            else:
+                self.held = self.unpacker.unconsumed_tail
+            self.size += len(out)
+            if out:
+                return out
+
+    def read(self, n: int) -> bytes:
+        """Up to about n bytes, what comes at once; what is too much is kept."""
+        out = self.__dict__.pop("rest", b"") or self._some()
+        if len(out) > n:
+            out, self.rest = out[:n], out[n:]
+        return out
+
+    def skip(self, n: int) -> None:
+        while n and (got := self.read(n)):
+            n -= len(got)
+
+    def member(self, place: int) -> int:
+        """Where the member starts that holds a place of the content."""
+        return self.members[max(0, bisect_right(self.starts, place) - 1)]
+
+
 def _packed(stream, size: int) -> Iterator[_Head]:
-    """Records of a file of gzip members, one each."""
+    """Records of a file of gzip members: of ours, one each, a header is inflated, and more only if it's asked for; others are inflated from end to end."""
     at = 0
     while at < size:
         stream.seek(at)
         held = stream.read(1 << 13)
-        length = None
+        length = whole = None
         if held[:2] == b"\x1f\x8b" and held[3] & 4 and held[12:14] == b"sl":
-            length = struct.unpack("<I", held[16:20])[0]
+            length, whole = struct.unpack("<II", held[16:24])
         unpacker = zlib.decompressobj(31)
-        data = unpacker.decompress(held)
-        while (end := data.find(b"\r\n\r\n")) < 0 and not unpacker.eof:
+        data = unpacker.decompress(held) if length else b""
+        while length and (end := data.find(b"\r\n\r\n")) < 0 and not unpacker.eof:
             got = stream.read(1 << 13)
             if not got:
                 raise ValueError("a record header doesn't end")
             data += unpacker.decompress(got)
-        fields = _fields(data[:end])
-        parts, start, count = [data[end + 4 :]], at, int(fields["Content-Length"])
-        ended = None
+        fields = _fields(data[:end]) if length else None
+        if not length or (end + 4 + fields.length + 4) & 0xFFFFFFFF != whole:
+            inflated = _Inflated(stream, at)
+            for head in _plain(inflated):
+                head.offset = inflated.member(head.offset)
+                yield head
+            return
+        parts, start, count = [data[end + 4 :]], at, fields.length
 
-        def rest(wanted: bool) -> None:
-            nonlocal ended
+        def body(wanted: bool) -> bytes:
+            if not wanted:
+                return b""
             while not unpacker.eof:
                 got = stream.read(1 << 16)
                 if not got:
                     raise ValueError("a record is cut off")
-                got = unpacker.decompress(got)
-                if wanted:
-                    parts.append(got)
-            ended = stream.tell() - len(unpacker.unused_data)
-
-        def body(wanted: bool) -> bytes:
-            if not wanted:
-                return b""
-            rest(True)
+                parts.append(unpacker.decompress(got))
             return b"".join(parts)[:count]
 
         yield _Head(start, fields, body)
-        if length is None and ended is None:
-            rest(False)
-        at = ended if ended is not None else start + length
+        at = start + length
+
+
+def content(fields: Fields, block: bytes) -> bytes:
+    """A record's payload: of an HTTP message what follows its headers, which may lack (then it is the block) or end with the block (then it is empty)."""
+    if not fields.get("content-type", "").lower().startswith("application/http"):
+        return block
+    ends = [(at, at + len(gap)) for gap in (b"\r\n\r\n", b"\n\n") if (at := block.find(gap)) >= 0]
+    if not block[:5].upper() == b"HTTP/" and not ends:
+        return block
+    return block[min(ends)[1] :] if ends else b""
 
 
 def records(path: str, size: int | None = None) -> Iterator[_Head]:
@@ -228,9 +309,11 @@ _TESTS: dict[type, Callable[[object, object], bool]] = {
 }
 
 
-def _value(fields: dict[str, str], column: str):
-    raw = fields.get(HEADERS[column])
-    return int(raw) if raw is not None and column == "payload_length" else raw
+def _value(fields: Fields, column: str):
+    raw = fields.get(HEADERS[column].lower())
+    if column != "payload_length":
+        return raw
+    return int(raw) if raw and raw.isdecimal() else None
 
 
 def _test(f: Filter) -> tuple[str, Callable[[object], bool]] | None:
@@ -271,7 +354,14 @@ class WarcReader(DataSourceReader):
         prefix = scheme[0] if scheme and scheme[0] != "file://" and not info.path.startswith(scheme[0]) else ""
         out, held, size = [], [], 0
         hidden = lambda p: any(x[:1] in "._" for x in p[len(name) :].split("/") if x)
-        for f in sorted((f for f in found if f.type == fs.FileType.File and f.size and not hidden(f.path)), key=lambda f: f.path):
+        files = [f for f in found if f.type == fs.FileType.File and f.size]
+        committed: set[str] = set()
+        for f in files:
+            if f.base_name.startswith(_COMMITTED):
+                with where.open_input_file(f.path) as stream:
+                    committed.update(stream.read().decode().split())
+        mine = lambda f: info.type == fs.FileType.File or not _OURS.fullmatch(f.base_name) or f.base_name in committed
+        for f in sorted((f for f in files if not hidden(f.path) and mine(f)), key=lambda f: f.path):
             if held and size + f.size > self.partition_bytes:
                 out.append(_Files(held))
                 held, size = [], 0
@@ -295,13 +385,11 @@ class WarcReader(DataSourceReader):
                     continue
                 for n, x in zip(self.names, rows, strict=True):
                     if n == "payload":
-                        body = head.body(True) if head.fields.get("WARC-Type") != "revisit" else None
-                        if body is not None and head.fields.get("Content-Type", "").startswith("application/http"):
-                            body = body[body.index(b"\r\n\r\n") + 4 :]
+                        body = content(head.fields, head.body(True)) if head.fields.get("warc-type") != "revisit" else None
                         size += len(body or b"")
                         x.append(body)
                     else:
-                        x.append({"headers": list(head.fields.items()), "file": path, "offset": head.offset}[n] if n not in HEADERS else _value(head.fields, n))
+                        x.append({"headers": list(head.fields.named.items()), "file": path, "offset": head.offset}[n] if n not in HEADERS else _value(head.fields, n))
                 size += 500
                 if size >= BATCH_BYTES:
                     yield batch()
@@ -323,8 +411,7 @@ class WarcWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         where, name = place(self.path)
-        folder = f"{name}/_temporary-{self.job}"
-        where.create_dir(folder, recursive=True)
+        where.create_dir(name, recursive=True)
         files, stream, size = [], None, 0
         for batch in iterator:
             names = batch.schema.names
@@ -335,8 +422,8 @@ class WarcWriter(DataSourceArrowWriter):
                 if stream is None or size + len(data) > self.file_bytes:
                     if stream is not None:
                         stream.close()
-                    files.append(f"part-{uuid.uuid4().hex}.warc.gz")
-                    stream, size = where.open_output_stream(f"{folder}/{files[-1]}", compression=None), 0
+                    files.append(f"part-{self.job}-{uuid.uuid4().hex}.warc.gz")
+                    stream, size = where.open_output_stream(f"{name}/{files[-1]}", compression=None), 0
                 stream.write(data)
                 size += len(data)
         if stream is not None:
@@ -344,34 +431,39 @@ class WarcWriter(DataSourceArrowWriter):
         return _Written(files)
 
     def commit(self, messages: list[_Written | None]) -> None:
+        """One file makes all of a job's visible; files of failed attempts are named by none. Overwriting deletes what was there after that."""
         where, name = place(self.path)
-        if self.overwrite:
-            for f in where.get_file_info(fs.FileSelector(name, allow_not_found=True)):
-                if f.type == fs.FileType.File:
-                    where.delete_file(f.path)
-        for m in messages:
-            for f in m.files if m else ():
-                where.move(f"{name}/_temporary-{self.job}/{f}", f"{name}/{f}")
-        self._drop()
+        where.create_dir(name, recursive=True)
+        files = [f for m in messages if m for f in m.files]
+        before = [f for f in where.get_file_info(fs.FileSelector(name)) if f.type == fs.FileType.File and self.job not in f.base_name] if self.overwrite else []
+        with where.open_output_stream(f"{name}/{_COMMITTED}{self.job}", compression=None) as stream:
+            stream.write("\n".join(files).encode())
+        self._delete(where, [f.path for f in sorted(before, key=lambda f: not f.base_name.startswith(_COMMITTED))])
 
     def abort(self, messages: list[_Written | None]) -> None:
-        self._drop()
-
-    def _drop(self) -> None:
         where, name = place(self.path)
-        if where.get_file_info(f"{name}/_temporary-{self.job}").type == fs.FileType.Directory:
-            where.delete_dir(f"{name}/_temporary-{self.job}")
+        self._delete(where, [f.path for f in where.get_file_info(fs.FileSelector(name, allow_not_found=True)) if self.job in f.base_name])
+
+    @staticmethod
+    def _delete(where: fs.FileSystem, paths: list[str]) -> None:
+        with ThreadPoolExecutor(16) as pool:
+            list(pool.map(where.delete_file, paths))
 
 
 class WarcSource(DataSource):
-    """format("warc"). Options: path, partitionBytes, fileBytes, payload ("false": no payload column, and no payload is decoded)."""
+    """format("warc"). Options: path, partitionBytes, fileBytes, columns (names of those to read, with commas between; Spark doesn't tell a Python source
+    which columns a query uses, and payloads that aren't among them aren't decoded), payload ("false": all columns but the payload)."""
 
     @classmethod
     def name(cls) -> str:
         return "warc"
 
     def schema(self) -> str:
-        return SCHEMA if self.options.get("payload", "true") != "false" else SCHEMA.removesuffix(", payload binary")
+        names = [n.strip() for n in self.options["columns"].split(",")] if self.options.get("columns") else list(_COLUMNS)
+        if unknown := [n for n in names if n not in _COLUMNS]:
+            raise ValueError(f"no such columns: {unknown}; there are {list(_COLUMNS)}")
+        names = [n for n in names if n != "payload" or self.options.get("payload", "true") != "false"]
+        return ", ".join(f"{n} {_COLUMNS[n]}" for n in names).replace(";", ",")
 
     def reader(self, schema: StructType) -> WarcReader:
         return WarcReader(self.options["path"], schema, int(self.options.get("partitionBytes", PARTITION_BYTES)))
@@ -402,7 +494,7 @@ def page_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
     same = stage(same.where("n > 1 and first is not null").select(F.col("digest").alias("__digest"), "first"), "equal")
     rows = rows.join(same, (F.col("digest") == F.col("__digest")) & (F.col("size") >= LEAST_REVISIT), "left")
     again = F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > F.col("first")))
-    return rows.select(
+    out = rows.select(
         _record_id(F.col("page_id")).alias("record_id"),
         F.when(again, F.lit("revisit")).otherwise(F.lit("response")).alias("warc_type"),
         "target_uri",
@@ -412,6 +504,8 @@ def page_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
         F.when(again, _record_id(F.col("first"))).alias("refers_to"),
         F.when(~again, F.col("payload")).otherwise(F.lit(b"")).alias("payload"),
     )
+    out._palimpsest_path = same._palimpsest_path  # to be unstaged with the rows
+    return out
 
 
 def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -424,20 +518,16 @@ def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     bounded_batches(spark)
     register(spark)
     path = f"{shared_dir(spark)}/palimpsest/warc-{uuid.uuid4().hex}"
-    page_records(pages, page_id, url, html).write.format("warc").mode("append").save(path)
-    read = spark.read.format("warc").load(path)
+    rows = page_records(pages, page_id, url, html)
+    rows.write.format("warc").mode("append").save(path)
+    unstage(rows)
+    read = spark.read.format("warc").option("columns", "record_id,warc_type,payload").load(path).where("warc_type = 'response'")
+    heads = spark.read.format("warc").option("columns", "record_id,warc_type,payload_length,payload_digest,refers_to").load(path).where("warc_type = 'revisit'")
     number = lambda c: F.when(F.length(c) > 0, F.regexp_extract(c, r"page:(-?\d+)>", 1)).try_cast("long")
-    response = F.col("warc_type") == "response"
-    out = stage(
-        read.select(
-            number("record_id").alias("page_id"),
-            F.when(response, F.octet_length("payload")).otherwise(F.col("payload_length")).cast("long").alias("payload_bytes"),
-            F.when(response, F.sha2("payload", 256)).otherwise(F.substring_index("payload_digest", ":", -1)).alias("payload_digest"),
-            F.col("warc_type").alias("record_type"),
-            number("refers_to").alias("refers_to"),
-        ),
-        "pages",
-    )
+    shown = lambda size, digest, refers_to: (number("record_id").alias("page_id"), size.cast("long").alias("payload_bytes"), digest.alias("payload_digest"), F.col("warc_type").alias("record_type"), refers_to.alias("refers_to"))
+    responses = read.select(*shown(F.octet_length("payload"), F.sha2("payload", 256), F.lit(None).cast("long")))
+    revisits = heads.select(*shown(F.col("payload_length"), F.substring_index("payload_digest", ":", -1), number("refers_to")))
+    out = stage(responses.unionByName(revisits), "pages")
     where, name = place(path)
     if where.get_file_info(name).type == fs.FileType.Directory:
         where.delete_dir(name)

@@ -4,9 +4,11 @@ import gzip
 import io
 import math
 import random
+import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -330,6 +332,81 @@ def test_warc_files(spark, tmp_path):
     assert spark.read.format("warc").load(path).count() == 1
 
 
+def test_foreign_archives(spark, tmp_path):
+    """One gzip member with many records, members that end anywhere, names in lower case, HTTP blocks without headers or without an end of these."""
+    warc.register(spark)
+    block = lambda kind, body, more=b"": b"\r\n".join([b"WARC/1.0", b"warc-type: " + kind, b"WARC-RECORD-ID: <urn:" + body[:3] + b">", *([more] if more else []), b"content-length: %d" % len(body), b"", body, b"", b""])
+    http = b"Content-Type: Application/HTTP;msgtype=response"
+    parts = [
+        block(b"response", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n" + b"first " * 30000, http),
+        block(b"response", b"HTTP/1.0 204 No Content", http),
+        block(b"response", b"no headers at all", http),
+        block(b"response", b"HTTP/1.0 200 OK\nA: b\n\nbare newlines", http),
+        block(b"metadata", b"plain: text\r\n\r\nmore"),
+    ]
+    want = [b"first " * 30000, b"", b"no headers at all", b"bare newlines", b"plain: text\r\n\r\nmore"]
+    whole = b"".join(parts)
+    files = {"plain.warc": whole, "one.warc.gz": gzip.compress(whole), "cut.warc.gz": b"".join(gzip.compress(whole[k : k + 70_001]) for k in range(0, len(whole), 70_001)), "each.warc.gz": b"".join(map(gzip.compress, parts))}
+    # a member of ours that holds two records isn't taken for one
+    files["two.warc.gz"] = warc.member(parts[0] + parts[1]) + b"".join(warc.member(p) for p in parts[2:])
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+        rows = spark.read.format("warc").load(str(tmp_path / name)).collect()
+        assert [r["payload"] for r in rows] == want, name
+        assert [r["warc_type"] for r in rows] == ["response"] * 4 + ["metadata"] and rows[0]["record_id"] == "<urn:HTT>" and "warc-type" in rows[0]["headers"]
+        heads = spark.read.format("warc").option("columns", "warc_type,offset").load(str(tmp_path / name))
+        assert heads.columns == ["warc_type", "offset"] and heads.where("warc_type = 'metadata'").count() == 1
+    for bad in (b"WARC/1.0\r\nWARC-Type: response\r\n\r\n", whole[:-20000][:100_000]):
+        with pytest.raises(ValueError):
+            for head in warc._plain(io.BytesIO(bad)):
+                head.body(True)
+
+
+def test_only_committed_files_count(spark, tmp_path):
+    warc.register(spark)
+    path = tmp_path / "archive"
+    rows = warc.page_records(spark.createDataFrame(PAGES, "page_id long, url string, html string"))
+    rows.write.format("warc").mode("append").save(str(path))
+    (path / f"part-{'0' * 32}-{'1' * 32}.warc.gz").write_bytes(b"of an attempt that failed")
+    assert spark.read.format("warc").load(str(path)).count() == len(PAGES)
+    job = warc.WarcWriter(str(path), 1 << 20)
+    job.write(iter(pa.Table.from_pylist([{"record_id": "x", "payload": b"y"}]).to_batches()))
+    assert spark.read.format("warc").load(str(path)).count() == len(PAGES)
+    job.abort([])
+    assert not [f for f in path.iterdir() if job.job in f.name]
+
+
+def test_unwanted_payloads_are_not_inflated(monkeypatch):
+    """Of records whose payload isn't among the columns, or whose type isn't asked for, headers alone are inflated."""
+    from pyspark.sql.datasource import EqualTo
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    data = b"".join(warc.member(warc.record({"WARC-Type": "response" if k % 2 else "request"}, np.random.default_rng(k).bytes(300_000))) for k in range(8))
+    seen = []
+
+    class Counted:
+        def __init__(self, wbits):
+            self.of = zlib.decompressobj(wbits)
+
+        def decompress(self, *given):
+            out = self.of.decompress(*given)
+            seen.append(len(out))
+            return out
+
+        def __getattr__(self, name):
+            return getattr(self.of, name)
+
+    monkeypatch.setattr(warc, "zlib", type("zlib", (), {"decompressobj": Counted}))
+    monkeypatch.setattr(warc, "records", lambda path, size: warc._packed(io.BytesIO(data), len(data)))
+    text = StructField("warc_type", StringType())
+    reader = warc.WarcReader("x", StructType([text]), 1)
+    assert sum(b.num_rows for b in reader.read(warc._Files([("x", len(data))]))) == 8 and sum(seen) < 8 * 20_000
+    seen.clear()
+    reader = warc.WarcReader("x", StructType([text, StructField("payload", StringType())]), 1)
+    assert not list(reader.pushFilters([EqualTo(("warc_type",), "request")]))
+    assert sum(b.num_rows for b in reader.read(warc._Files([("x", len(data))]))) == 4 and 4 * 300_000 < sum(seen) < 4 * 320_000 + 4 * 20_000
+
+
 def pieces(data):
     heads = list(warc._plain(io.BytesIO(data)))
     ends = [h.offset for h in heads[1:]] + [len(data)]
