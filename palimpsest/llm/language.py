@@ -64,41 +64,45 @@ class Network:
         return [self.table, self.turn, self.lift, self.out, self.base]
 
     def probabilities(self, chunks: np.ndarray) -> np.ndarray:
-        """chunks[N, T] of bytes -> [T, N, K]."""
+        """chunks[N, T] of bytes -> [T, N, K]. Chunks lie along the last axis, so that every step works on long rows."""
         n, length = chunks.shape
         units = self.turn.shape[1]
-        half = np.ones(3 * units, np.float32)
-        half[: 2 * units] = 0.5  # a logistic gate is half a tanh of half its argument, and a half
-        table, turn = (self.table * half).reshape(512, -1), self.turn * half
-        both = np.concatenate([chunks.T, chunks.T[::-1].astype(np.int32) + 256], axis=1).astype(np.int32)
-        states = np.empty((length, 2, n, units), np.float32)
-        h = np.zeros((2, n, units), np.float32)
-        lift = self.lift[:, None, :]
+        scale = np.full(3 * units, 2, np.float32)  # a gate is 1 / (1 + exp(-a)), a tanh is 1 - 2 / (1 + exp(2 a))
+        scale[: 2 * units] = -1
+        table = np.ascontiguousarray((self.table * scale).transpose(0, 2, 1))
+        turn = np.ascontiguousarray((self.turn * scale).transpose(0, 2, 1))
+        lift, at = 2 * self.lift[:, :, None], np.ascontiguousarray(chunks.T).astype(np.intp)
+        states, x = np.empty((length, 2, units, n), np.float32), np.empty((2, 3 * units, n), np.float32)
+        h = np.zeros((2, units, n), np.float32)
+        gates, z, r = x[:, : 2 * units], x[:, :units], x[:, units : 2 * units]
         for t in range(length):
-            x = table.take(both[t], axis=0).reshape(2, n, -1)
-            y = h @ turn
-            gates = x[..., : 2 * units]
-            gates += y[..., : 2 * units]
-            gates = np.tanh(gates)
-            gates *= 0.5
-            gates += 0.5
-            fresh = y[..., 2 * units :]
+            np.take(table[0], at[t], axis=1, out=x[0], mode="clip")
+            np.take(table[1], at[length - 1 - t], axis=1, out=x[1], mode="clip")
+            y = turn @ h
+            gates += y[:, : 2 * units]
+            np.exp(np.minimum(gates, 80, out=gates), out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            fresh = y[:, 2 * units :]
             fresh += lift
-            fresh *= gates[..., units:]
-            fresh += x[..., 2 * units :]
-            np.tanh(fresh, out=states[t])
-            fresh = states[t]
-            h = h - fresh
-            h *= gates[..., :units]
-            h += fresh
-            states[t] = h
-        logits = states[:, 0].reshape(-1, units) @ self.out[0]
-        logits += states[::-1, 1].reshape(-1, units) @ self.out[1]
-        logits += self.base
+            fresh *= r
+            fresh += x[:, 2 * units :]
+            np.exp(np.minimum(fresh, 80, out=fresh), out=fresh)
+            fresh += 1
+            np.divide(-2, fresh, out=fresh)
+            fresh += 1
+            now = states[t]
+            np.subtract(h, fresh, out=now)
+            now *= z
+            now += fresh
+            h = now
+        logits = self.out[0].T @ states[:, 0]
+        logits += self.out[1].T @ states[::-1, 1]
+        logits += self.base[:, None]
         logits -= logits.max(axis=1, keepdims=True)
         np.exp(logits, out=logits)
         logits /= logits.sum(axis=1, keepdims=True)
-        return logits.reshape(length, n, -1)
+        return logits.transpose(0, 2, 1)
 
     def gradients(self, chunks: np.ndarray, labels: np.ndarray) -> tuple[float, list[np.ndarray]]:
         """Mean cross-entropy of every position's label, and its gradient by backpropagation through time."""
