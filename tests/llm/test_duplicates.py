@@ -263,3 +263,94 @@ def test_rows_of_one_id(spark, odd, words):
     rows = [(5, text), (5, text), (5, other), (9, text + " " + other)]
     got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substrings.repeats(odd([t for _, t in rows], [i for i, _ in rows])).collect())
     assert got == [(5, 30, 0), (5, 30, 0), (5, 40, 0), (9, 70, 70)]
+
+
+def test_maximal_repeats(spark, odd, words):
+    """Each span repeats an earlier passage word for word, and together they cover what is removed."""
+    rnd = random.Random(18)
+    passages = [words(n, 80 + n) for n in (20, 33, 70)]
+    lines = []
+    for k in range(25):
+        line = words(rnd.randint(0, 40), k)
+        for _ in range(rnd.randint(0, 3)):
+            at = rnd.randint(0, len(line))
+            line = line[:at] + rnd.choice(passages) + line[at:]
+        lines.append(line)
+    lines += [lines[3], words(30, 999) * 3]
+    texts = [" ".join(x) for x in lines]
+    gone = {}
+    for r in substrings.spans(odd(texts)).collect():
+        mine, other = lines[r["doc_id"]], lines[r["of"]]
+        a, b, n = r["start"], r["of_start"], r["length"]
+        assert (r["of"], b) < (r["doc_id"], a) and n >= 20 and mine[a : a + n] == other[b : b + n] and len(mine[a : a + n]) == n
+        gone.setdefault(r["doc_id"], set()).update(range(a, a + n))
+    assert {i: len(x) for i, x in gone.items()} == {i: n for i, _, n, _, _ in brute_repeats(list(enumerate(texts))) if n}
+
+
+@pytest.mark.parametrize("kind", ["string", "greatest"])
+def test_repeats_of_other_ids(spark, words, kind):
+    """Ids that aren't numbers have their order; the greatest number isn't a missing one."""
+    passage = words(25, 4)
+    texts = [" ".join(words(5 + k, 100 + k) + passage + words(3, 300 + k)) for k in range(8)] + [" ".join(passage)]
+    ids = ["b", "a", "é", None, "B", "aa", "c", "z", ""] if kind == "string" else [2**63 - 1, 5, 7, None, 9, 2**63 - 2, 4, 11, 3]
+    rows = list(zip(ids, texts, strict=True))
+    docs = spark.createDataFrame(rows, f"doc_id {'string' if kind == 'string' else 'long'}, text string").repartition(3)
+    first = {}
+    out = {}
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] if r[0] is not None else 0)):
+        w, gone = t.split(), set()
+        for p in range(len(w) - 19):
+            if first.setdefault(tuple(w[p : p + 20]), (i, p)) != (i, p):
+                gone.update(range(p, p + 20))
+        out[i] = (len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone))
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substrings.repeats(docs).collect()}
+    assert got == {i: x[:2] for i, x in out.items()}
+    cut = {r["doc_id"]: r["text"] for r in substrings.without_repeats(docs).collect()}
+    assert cut == {i: x[2] for i, x in out.items() if x[2]}
+
+
+def test_many_rows_without_an_id(spark, words):
+    """They don't meet in one row: what is joined grows with their number, and each loses what an earlier document has."""
+    passage = " ".join(words(40, 3))
+    rows = [(1, passage)] + [(None, f"{' '.join(words(30, 1000 + k))} {passage}") for k in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    plain, _ = substrings._numbered(docs, "doc_id", "text")
+    known, runs = substrings._repeat_runs(plain)
+    assert substrings._by_text(runs).select(F.max(F.size("of"))).first()[0] == 1 and known.count() == 1001
+    got = substrings.repeats(docs).groupBy("n_removed").count().collect()
+    assert {r["n_removed"]: r["count"] for r in got} == {0: 1, 40: 1000}
+
+
+def test_a_bucket_holds_its_distinct_windows(monkeypatch, words):
+    """A passage of every batch is sent once a batch, and held once."""
+    monkeypatch.setattr(substrings, "REDUCE_ROWS", 500)
+    import pyarrow as pa
+
+    passage, held, runs = words(60, 1), [], 0
+    texts = [" ".join(words(30, 10 + k) + passage) for k in range(400)]
+    reduced = substrings._Windows.reduced
+
+    def counted(self):
+        yield from reduced(self)
+        held.append(len(self.first[0]))
+
+    monkeypatch.setattr(substrings._Windows, "reduced", counted)
+    monkeypatch.setattr(substrings, "BATCH_WORDS", 10)
+    hits = list(range(30, 81, 10))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400), pa.int64()), pa.array([substrings.zstandard.compress(t.encode()) for t in texts]), pa.array([hits] * 400)], ["doc", "z", "hits"])
+    sent = [b for b in substrings._candidates(1)(iter([batch])) if b.num_rows]
+    for b in substrings._per_bucket(substrings._Windows)(iter(sent)):
+        runs += b.num_rows
+    assert len(held) > 10 and max(held) < 400 * 30 and held[-1] <= 400 * 20 + 41 and runs >= 399
+
+    blocks, waiting = substrings._Blocks.reduced, []
+
+    def waits(self):
+        yield from blocks(self)
+        waiting.append(len(self.waiting[0]))
+
+    monkeypatch.setattr(substrings._Blocks, "reduced", waits)
+    docs = pa.RecordBatch.from_arrays([pa.array(range(400), pa.int64()), pa.array([" ".join(passage)] * 400)], ["doc", "text"])
+    sent = [b for b in substrings._blocks(1)(iter([docs])) if b.num_rows]
+    found = [x for b in substrings._per_bucket(substrings._Blocks)(iter(sent)) for x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
+    assert sorted(found) == [(k, 10 * j) for k in range(400) for j in range(6)] and len(waiting) > 10 and max(waiting) <= 6
