@@ -23,6 +23,8 @@ from palimpsest.llm.seeds import Seeds, tokens
 
 #: Words of a seed, least coverage, and how many times the template's length a match may stretch over.
 SEED_WORDS, COVERAGE, STRETCH = 3, 0.8, 1.5
+#: By how much more of its template one license must cover to stand for another's match.
+MARGIN = 0.02
 
 #: Fixed values: (license, template, words of the template).
 TEMPLATES: tuple[tuple[str, str, str], ...] = (
@@ -64,6 +66,35 @@ TEMPLATES: tuple[tuple[str, str, str], ...] = (
         "the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
         "following disclaimer in the documentation and/or other materials provided with the distribution.",
     ),
+    ("BSD-3-Clause", "text",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain "
+        "the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+        "following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to "
+        "endorse or promote products derived from this software without specific prior written permission.",
+    ),
+    ("MPL-2.0", "notice",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
+    ("GPL-2.0-or-later", "notice",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; "
+        "either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ),
+    ("LGPL-2.1-or-later", "notice",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; "
+        "either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    ),
+    ("AGPL-3.0-or-later", "notice",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    ),
+    ("Unlicense", "text",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form "
+        "or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
+    ("CC0-1.0", "notice", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 )
 
 
@@ -114,9 +145,29 @@ def align(text: list[int], template: list[int]) -> list[tuple[int, int]]:
     return sorted(pairs)
 
 
+def distinct(found: list[dict]) -> list[dict]:
+    """Matches without those that another one explains better: licenses that share most of their words match where either stands.
+
+    Of two licenses whose matches lie over each other, in four fifths of the one's words and three fifths of the other's, the first goes if the other
+    has a coverage that is greater by MARGIN, or one that isn't less, of more words.
+    """
+
+    def explained(b: dict) -> bool:
+        for a in found:
+            both = min(a["last_word"], b["last_word"]) - max(a["first_word"], b["first_word"]) + 1
+            if a["license"] != b["license"] and (a["coverage"] >= b["coverage"] + MARGIN or a["coverage"] >= b["coverage"] and a["words"] > b["words"]):
+                if 5 * both >= 4 * (b["last_word"] - b["first_word"] + 1) and 5 * both >= 3 * (a["last_word"] - a["first_word"] + 1):
+                    return True
+        return False
+
+    return [b for b in found if not explained(b)]
+
+
 class Scanner:
     def __init__(self, templates=TEMPLATES, coverage: float = COVERAGE):
         self.templates, self.coverage = templates, coverage
+        if short := [name for name, _, t in templates if len(tokens(t)) < SEED_WORDS]:
+            raise ValueError(f"templates of fewer than {SEED_WORDS} words: {short}")
         self.seeds = Seeds([tokens(t) for _, _, t in templates], SEED_WORDS)
         self.places: list[dict[tuple[int, ...], list[int]]] = []
         for line in self.seeds.patterns:
@@ -136,6 +187,21 @@ class Scanner:
                 best = (hi - lo + 1, pairs[lo][0], x)
         return best
 
+    def _refined(self, numbers: np.ndarray, at: int, count: int, first: int, last: int, template: list[int]) -> tuple[int, int, int]:
+        """An alignment of words `first` to `last` after `at`, done again on these and a few more as long as that pairs more words: the fewer words of
+        neighbouring copies there are, the more words occur once. As (words aligned, first word, last word) in all of numbers."""
+        x, y = at + first, at + last
+        while 0 < count < len(template):
+            for around in (0, SEED_WORDS):
+                a = max(0, x - around)
+                more, u, v = self._stretch(numbers[a : y + 1 + around].tolist(), template)
+                if more > count:
+                    count, x, y = more, a + u, a + v
+                    break
+            else:
+                break
+        return count, x, y
+
     def _windows(self, numbers: np.ndarray, which: int, at: list[int]) -> list[tuple[int, int]]:
         """(first word, end) of the windows in which the seeds `at` may have a copy, without those that lack the words for one."""
         template, line = self.seeds.patterns[which], numbers.tolist()
@@ -164,7 +230,7 @@ class Scanner:
         return out
 
     def scan(self, texts: list[str | None]) -> list[list[dict]]:
-        """For each text the templates found in it, each with its best match, by template order."""
+        """For each text the templates found in it, each with its best match, by template order; without those that another license explains better."""
         out: list[list[dict]] = [[] for _ in texts]
         numbered, found = self.seeds.find([tokens(t) for t in texts])
         for (n, which), at in sorted(found.items()):
@@ -185,22 +251,26 @@ class Scanner:
                     line = numbered[n][first:last]
                     for a, b in self._windows(line, which, [x - first for x in at[lo : k + 1]]):
                         count, x, y = self._stretch(line[a:b].tolist(), template)
+                        if best is None or count + SEED_WORDS > best[0]:
+                            count, x, y = self._refined(line, a, count, x, y, template)
                         if count >= self.coverage * size and (best is None or count > best[0]):
-                            best = (count, first + a + x, first + a + y)
+                            best = (count, first + x, first + y)  # a greater count has been refined
                             if count == size:
                                 break
                 lo = k + 1
             if best:
                 name, kind, _ = self.templates[which]
                 out[n].append({"license": name, "template": kind, "coverage": best[0] / size, "words": best[0], "first_word": best[1], "last_word": best[2]})
-        return out
+        return [distinct(x) for x in out]
 
 
 def licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
     """A row for each template found in a row of docs: (doc_id, license, template, coverage, words, first_word, last_word), its best match in the text.
 
     Words are lower-cased runs of letters and digits, numbered from 0. Null and empty texts, and texts without licenses, have no row.
-    Repeated rows are each reported; other columns are ignored. Templates of fewer than three words are never found.
+    Very long texts are scanned whole. Where two licenses match the same words, as those of one family do, the one that covers its template better is told,
+    both if neither does. Repeated rows are each reported; an empty table gives no rows; other columns are ignored. Templates of fewer than three words are
+    never found: ValueError.
     """
     bounded_batches(docs.sparkSession)
     scanner = Scanner(templates, coverage)

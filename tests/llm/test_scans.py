@@ -132,6 +132,69 @@ def test_licenses(spark, odd, words):
     assert licences.licenses(docs.limit(0)).count() == 0
 
 
+def brute_licenses(text):
+    """Every template aligned with every stretch of the text that may hold it: the most words that lie in order."""
+    line, found = licences.tokens(text), []
+    for name, kind, template in licences.TEMPLATES:
+        want, best = licences.tokens(template), None
+        if len(set(line) & set(want)) < licences.COVERAGE * len(set(want)) - len(want) + len(set(want)):
+            continue
+        most = int(licences.STRETCH * len(want))
+        for a in range(len(line)):
+            if line[a] not in want:
+                continue
+            part = line[a : a + most]
+            # longest common subsequence, by rows; how far the text is used comes from the first place where the most is reached
+            row, ends = [0] * (len(want) + 1), []
+            for w in part:
+                before = row
+                row = [0]
+                for k, t in enumerate(want, 1):
+                    row.append(before[k - 1] + 1 if t == w else max(row[k - 1], before[k]))
+                ends.append(row[-1])
+            if best is None or ends[-1] > best[0]:
+                best = (ends[-1], a, a + ends.index(ends[-1]))
+        if best and best[0] >= licences.COVERAGE * len(want):
+            found.append({"license": name, "template": kind, "coverage": best[0] / len(want), "words": best[0], "first_word": best[1], "last_word": best[2]})
+    return found
+
+
+def test_licenses_against_brute_force(spark, odd, words):
+    """Whole, edited, cut and mixed templates in made-up text: what is found is what aligning everything with everything finds."""
+    rnd, texts = random.Random(21), []
+    for k, (_, _, template) in enumerate(licences.TEMPLATES):
+        for edits in (0, 1, len(template.split()) // 9, len(template.split()) // 3):
+            copy = template.split()
+            for place in rnd.sample(range(len(copy)), min(edits, len(copy) - 1)):
+                copy[place] = rnd.choice(["", "other", copy[place] + " more"])
+            texts.append(" ".join(words(rnd.randint(0, 30), k) + copy + words(rnd.randint(0, 30), 99 + k)))
+    texts += [" ".join(words(300, 5)), licences.TEMPLATES[0][2] + " " + licences.TEMPLATES[5][2], None, "", "MIT"]
+    got = {}
+    for r in licences.licenses(odd(texts)).collect():
+        got.setdefault(r["doc_id"], {})[r["license"], r["template"]] = r["words"]
+    found = 0
+    for k, text in enumerate(texts):
+        best = brute_licenses(text or "")
+        want = {(f["license"], f["template"]): f["words"] for f in licences.distinct(best)}
+        least = {(f["license"], f["template"]) for f in best if f["coverage"] < licences.COVERAGE + 0.05}
+        mine = got.get(k, {})
+        # patience anchors may miss a word or two of the longest common subsequence, which tells at the very threshold alone
+        assert set(want) - least <= set(mine) <= {(f["license"], f["template"]) for f in best}, (k, want, mine)
+        assert all(0.9 * want.get(x, 0) <= n for x, n in mine.items())
+        found += len(mine)
+    assert found >= 2 * len(licences.TEMPLATES)
+
+
+def test_licenses_of_one_family(words):
+    """Each notice of a family is told as itself alone."""
+    scanner = licences.Scanner()
+    for name, kind, template in licences.TEMPLATES:
+        got = [(f["license"], f["template"]) for f in scanner.scan([" ".join(words(20, 1)) + " " + template + " " + " ".join(words(20, 2))])[0]]
+        assert (name, kind) in got and all(other == name for other, k in got if k != "line"), (name, got)
+    with pytest.raises(ValueError):
+        licences.Scanner((("X", "line", "two words"),))
+
+
 def test_close_copies_of_a_license(words):
     """Two, three and twenty copies, whole or edited, are found as one alone would be, wherever in the text they are."""
     rnd = random.Random(9)
