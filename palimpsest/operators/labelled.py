@@ -27,11 +27,18 @@ def located(text: Column, entities: Column) -> Column:
     return F.aggregate(entities, start, step, lambda acc: acc["out"])
 
 
-def build(cases: DataFrame, position: str = "position") -> DataFrame:
-    """cases(position 0.., category, text, entities of type and text) -> the labelled set: id is the position in four digits at least."""
+def build(cases: DataFrame, position: str = "position", unique: bool = True) -> DataFrame:
+    """cases(position 0.., category, text, entities of type and text) -> the labelled set: id is the position in four digits at least.
+
+    Ids must differ: a repeated one raises. unique=False leaves that out, and with it the shuffle that it takes; `repeated_ids` tells them.
+    """
     number = F.col(position).cast("string")
     name = F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number)
-    return cases.select(name.alias("id"), "category", "text", located(F.col("text"), F.col("entities")).alias("entities"))
+    out = cases.select(name.alias("id"), "category", "text", located(F.col("text"), F.col("entities")).alias("entities"))
+    if not unique:
+        return out
+    times = F.count(F.lit(1)).over(Window.partitionBy("id"))
+    return out.withColumn("id", F.when(times == 1, F.col("id")).otherwise(F.raise_error(F.concat(F.lit("repeated id: "), F.coalesce("id", F.lit("null")))).cast("string")))
 
 
 def repeated_ids(cases: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,10 +49,22 @@ def outcomes(predicted: Column, gold: Column, rule: str) -> Column:
     return let(numbered, run)
 
 
+def _case_columns(cases: DataFrame) -> list[str]:
+    return ["id", "category", "text", *(["position"] if "position" in cases.columns else [])]
+
+
 def judged(cases: DataFrame, rule: str) -> DataFrame:
-    """cases(id, category, text, entities, predicted) -> a row for each outcome; no shuffle."""
-    rows = exploded(cases, outcomes(F.col("predicted"), F.col("entities"), rule), "o", "id", "category", "text")
-    return rows.select("id", "category", "text", "o.*")
+    """cases(id, category, text, entities, predicted, and perhaps position) -> a row for each outcome; no shuffle."""
+    kept = _case_columns(cases)
+    return exploded(cases, outcomes(F.col("predicted"), F.col("entities"), rule), "o", *kept).select(*kept, "o.*")
+
+
+def judged_by(cases: DataFrame, rules: tuple[str, ...] = RULES) -> DataFrame:
+    """The outcomes by several rules, in one pass over the cases: what finds the predictions runs once. (rule, and the columns of `judged`)."""
+    kept = _case_columns(cases)
+    named = lambda r, found: F.transform(found, lambda o: F.struct(F.lit(r).alias("rule"), o.alias("o")))
+    by_rule = let(F.col("predicted"), lambda p: F.flatten(F.array(*(named(r, outcomes(p, F.col("entities"), r)) for r in rules))))
+    return exploded(cases, by_rule, "by", *kept).select("by.rule", *kept, "by.o.*")
 
 
 def _counts() -> list[Column]:
@@ -82,14 +95,33 @@ def person_by_category(outcome_rows: DataFrame) -> DataFrame:
     return _scored(outcome_rows.where(F.startswith("category", F.lit("person_"))).groupBy("category").agg(*_counts()))
 
 
-def failures(outcome_rows: DataFrame, limit: int | None = None) -> DataFrame:
-    """(kind, case_id, category, entity_type, span_text, text) by case, misses before false alarms. limit: only the first so many."""
-    bad = outcome_rows.where(F.col("outcome") != "TP").orderBy("id", "kind_rank", "pos")
+def failures(outcome_rows: DataFrame, limit: int | None = None, ordered: bool = True) -> DataFrame:
+    """(kind, case_id, category, entity_type, span_text, text), misses before false alarms in each case.
+
+    Cases come by their position if they have one, else by id as a string. ordered=False spares the sort of all. limit: only the first so many.
+    """
+    bad = outcome_rows.where(F.col("outcome") != "TP")
+    if ordered or limit is not None:
+        bad = bad.orderBy(*(["position"] if "position" in bad.columns else []), "id", "kind_rank", "pos")
     out = bad.select(F.col("outcome").alias("kind"), F.col("id").alias("case_id"), "category", "entity_type", "span_text", "text")
     return out if limit is None else out.limit(limit)
 
 
-def evaluate(cases: DataFrame, rule: str) -> dict[str, DataFrame]:
-    """The frames of one evaluation: per_type, overall, person_by_category, failures."""
-    rows = judged(cases, rule)
+def _frames(rows: DataFrame) -> dict[str, DataFrame]:
     return {"per_type": per_type(rows), "overall": overall(rows), "person_by_category": person_by_category(rows), "failures": failures(rows)}
+
+
+def evaluate(cases: DataFrame, rule: str) -> dict[str, DataFrame]:
+    """The frames of one evaluation: per_type, overall, person_by_category, failures. Outcomes are computed once and kept for all of them."""
+    return _frames(judged(cases, rule).persist(StorageLevel.DISK_ONLY))
+
+
+def evaluate_all(cases: DataFrame, rules: tuple[str, ...] = RULES) -> dict[str, dict[str, DataFrame]]:
+    """The frames of each rule's evaluation, from one pass over the cases."""
+    rows = judged_by(cases, rules).persist(StorageLevel.DISK_ONLY)
+    return {r: _frames(rows.where(F.col("rule") == r).drop("rule")) for r in rules}
+
+
+def scores_by_rule(cases: DataFrame, rules: tuple[str, ...] = RULES) -> DataFrame:
+    """(rule, entity_type, tp, fp, fn, precision, recall, f1), one pass and one aggregation."""
+    return _scored(judged_by(cases, rules).groupBy("rule", "entity_type").agg(*_counts()))

@@ -15,6 +15,12 @@ from palimpsest.operators.redaction import redact
 from palimpsest.sources.audit import write_audit_log
 
 
+def spread_out(docs: DataFrame) -> DataFrame:
+    """docs over all cores, if its files give fewer partitions than there are cores. Best before long texts are read or derived, as all columns move."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs._jdf.queryExecution().toRdd().getNumPartitions() < cores else docs
+
+
 def detected(docs: DataFrame, text: str = "text", detectors: Sequence[Detector] | None = None, unicode: bool = True) -> DataFrame:
     """docs plus normalised (string), raw_spans and spans (resolved)."""
     out = docs.withColumn("normalised", normalise(F.col(text), unicode))

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from palimpsest.functions import checksum, metrics, textnorm
 from palimpsest.functions.lets import exploded
 from palimpsest.operators import labelled, retrieval, scoring
-from palimpsest.operators.detectors import AadhaarDetector, Detector, EmailDetector, NaiveAadhaarDetector, PanDetector, PhoneDetector, trim_possessive
+from palimpsest.operators.detectors import AadhaarDetector, Detector, EmailDetector, GazetteerDetector, NaiveAadhaarDetector, PanDetector, PhoneDetector, trim_possessive
 from palimpsest.operators.overlap import resolve
 from palimpsest.operators.redaction import redact
-from palimpsest.plans.pipeline import audit_entries, naive_precision, redact_documents
+from palimpsest.plans.pipeline import audit_entries, for_evaluation, naive_precision, redact_documents, spot_check, spread_out
 from palimpsest.schema import SPANS
+from palimpsest.sources.audit import read_audit_log, read_gold, scratch, write_audit_log, write_gold
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,7 +38,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "orders").select("o_orderkey", F.expr(ORDER_TEXT).alias("text"))
+    return spread_out(_table(spark, sf_dir, "orders").select("o_orderkey")).select("o_orderkey", F.expr(ORDER_TEXT).alias("text"))
 
 
 def query(oracle: str | None) -> Callable[[Query], Query]:
@@ -88,6 +89,17 @@ def normalise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rough.select("doc_id", F.md5("n").alias("digest"), F.length("n").alias("size"))
 
 
+_WIDE = "".join(chr(0xFEE0 + ord(c)) for c in "0123456789")
+
+
+@query(f"SELECT o_orderkey, concat('office file ', {ORDER_TEXT}) AS folded FROM orders")
+def unicode_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full-width digits, ligatures, a no-break space and zero-width characters, on which the composition and the strip work; plain text comes back."""
+    wide = F.translate("text", "0123456789", _WIDE)
+    rough = F.concat(F.lit("\ufeffo\ufb03ce\u00a0\ufb01le "), F.regexp_replace(wide, "a", "a\u200b"))
+    return _orders(spark, sf_dir).select("o_orderkey", textnorm.normalise(rough).alias("folded"))
+
+
 # Detection
 
 _EMAIL_ROWS = f"""
@@ -224,6 +236,21 @@ def audit_summary_by_type_strategy(spark: SparkSession, sf_dir: str) -> DataFram
     return entries.groupBy("entity_type", "strategy").agg(F.count("*").alias("n"), F.sum("original_length").cast("long").alias("chars"))
 
 
+@query(
+    f"""
+SELECT document_id, entity_type, start, "end", original_length, replacement, 2::BIGINT AS copies FROM (
+  SELECT concat(doc_id, '') AS document_id, 'EMAIL' AS entity_type, start, (start + length(span_text))::INT AS "end", length(span_text)::INT AS original_length, '[EMAIL_REDACTED]' AS replacement FROM ({_EMAIL_ROWS}))
+"""
+)
+def audit_log_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overwritten once, appended to once, and read back."""
+    path = scratch(spark, "audit")
+    entries = audit_entries(redact_documents(_table(spark, sf_dir, "documents"), detectors=[EmailDetector()]), "doc_id")
+    for append in (False, True):
+        write_audit_log(entries, path, append)
+    return read_audit_log(spark, path).groupBy("document_id", "entity_type", "start", "end", "original_length", "replacement").agg(F.count("*").alias("copies"))
+
+
 @query(
     """
 WITH names AS (SELECT c_nationkey, c_custkey, lower(concat('Name', (c_custkey * 7) % 41)) AS k FROM customer),
@@ -240,6 +267,56 @@ def pseudonym_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("c_nationkey", "r.start", "r.replacement")
 
 
+# Names and places of the default recogniser's lists, by key
+
+_PEOPLE, _PLACES = ("Priya", "Rahul", "Sunita", "Vikram", "Asha"), ("Pune", "Delhi", "Kochi")
+_PICK = f"""
+SELECT c_custkey, {list(_PEOPLE)}[(c_custkey % 5 + 1)::INT] AS a, {list(_PEOPLE)}[(c_custkey // 5 % 5 + 1)::INT] AS b, {list(_PLACES)}[(c_custkey % 3 + 1)::INT] AS p FROM customer
+"""
+
+
+def _meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    pick = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (n % len(words) + 1).cast("int"))
+    text = F.concat(pick(_PEOPLE, key), F.lit(" met "), pick(_PEOPLE, F.floor(key / 5)), F.lit("'s aunt in "), pick(_PLACES, key), F.lit("."))
+    return _table(spark, sf_dir, "customer").select("c_custkey", pick(_PEOPLE, key).alias("name"), text.alias("text"))
+
+
+@query(
+    f"""
+SELECT c_custkey AS doc_idx, v.variant, v.text FROM (SELECT c_custkey, unnest([
+  {{'variant': 'original', 'text': concat(a, ' met ', b, chr(39), 's aunt in ', p, '.')}},
+  {{'variant': 'naive', 'text': concat('[REDACTED] met [REDACTED]', chr(39), 's aunt in ', p, '.')}},
+  {{'variant': 'pipeline', 'text': concat('PERSON_A met PERSON_', CASE WHEN a = b THEN 'A' ELSE 'B' END, chr(39), 's aunt in ', p, '.')}}]) AS v FROM ({_PICK}))
+"""
+)
+def text_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _meetings(spark, sf_dir).select(F.col("c_custkey").alias("doc_idx"), "text")
+    return retrieval.variants(docs).select("doc_idx", "variant", "text")
+
+
+@query(f"SELECT c_custkey, concat_ws(',', least(a, b), CASE WHEN a <> b THEN greatest(a, b) END) AS got, a = 'Priya' OR b = 'Priya' AS matched FROM ({_PICK})")
+def name_spot_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spot_check(_meetings(spark, sf_dir).withColumn("expected", F.lit("Priya")), [GazetteerDetector()])
+    return found.select("c_custkey", F.array_join("got", ",").alias("got"), "matched")
+
+
+@query(
+    f"""
+SELECT c_custkey, 'LOCATION' AS entity_type, 'retain' AS strategy, p AS replacement, (length(a) + length(b) + 16)::INT AS start FROM ({_PICK})
+UNION ALL SELECT c_custkey, 'ORGANIZATION', 'retain_unhandled_type', a, 0::INT FROM ({_PICK})
+"""
+)
+def retained_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places stay, and so do types that no strategy handles; both are on record."""
+    rows = _meetings(spark, sf_dir)
+    firm = F.struct(F.lit("ORGANIZATION").alias("entity_type"), F.lit(0).alias("start"), F.length("name").alias("end"), F.col("name").alias("text"), F.lit(0.5).alias("confidence"), F.lit("keys").alias("detector"))
+    places = F.filter(GazetteerDetector().spans(F.col("text")), lambda s: s["entity_type"] == "LOCATION")
+    done = redact(F.col("text"), F.concat(F.array(firm), places).cast(SPANS))
+    kept = rows.select("c_custkey", "text", done.alias("done")).where(F.col("done.redacted") == F.col("text"))
+    return exploded(kept.select("c_custkey", F.col("done.records").alias("records")), F.col("records"), "r", "c_custkey").select("c_custkey", "r.entity_type", "r.strategy", "r.replacement", "r.start")
+
+
 # Evaluation: gold spans lie apart, predictions are shifted, retyped, doubled or missing by key.
 
 _CASE = "concat(CASE WHEN l_orderkey % 3 = 0 THEN 'person_a' WHEN l_orderkey % 3 = 1 THEN 'person_b' ELSE 'mixed' END, '')"
@@ -314,7 +391,48 @@ def score_per_type_and_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT outcome AS kind, id AS case_id, category, entity_type, span_text, '' AS text FROM ({_judged_sql('strict')}) WHERE outcome <> 'TP'")
 def score_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.failures(scoring.judged(_cases(spark, sf_dir), "strict"))
+    return scoring.failures(scoring.judged(_cases(spark, sf_dir), "strict"), ordered=False)
+
+
+@query(
+    """
+WITH k AS (SELECT o_orderkey, o_orderkey % 4 AS v FROM orders),
+hits AS (SELECT o_orderkey, unnest(CASE v WHEN 0 THEN ['TP g1', 'FN g2'] WHEN 1 THEN ['TP g1', 'TP g2', 'FP p3'] WHEN 2 THEN ['TP g1', 'FN g2', 'FP p1'] ELSE ['FN g1', 'TP g2'] END) AS x FROM k)
+SELECT o_orderkey, substr(x, 1, 2) AS outcome, substr(x, 4) AS span_text FROM hits
+"""
+)
+def score_greedy_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold spans that overlap: each in order takes the first prediction left, so one that fits both is the first one's, whatever fits better."""
+    gold = F.array(*(F.struct(F.lit("PERSON").alias("type"), F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(n).alias("text")) for a, b, n in ((0, 5, "g1"), (3, 9, "g2"))))
+    of = {"p1": (4, 8), "p2": (6, 9), "p3": (0, 2)}  # p1 fits both, p2 and p3 one each
+    one = lambda n, kind="PERSON": F.struct(F.lit(kind).alias("entity_type"), F.lit(of[n][0]).alias("start"), F.lit(of[n][1]).alias("end"), F.lit(n).alias("text"), F.lit(0.9).alias("confidence"), F.lit("keys").alias("detector"))
+    found = [F.array(one("p1")), F.array(one("p1"), one("p2"), one("p3")), F.array(one("p3"), one("p1", "EMAIL")), F.array(one("p2"))]
+    which = F.col("o_orderkey") % 4
+    predicted = F.when(which == 0, found[0]).when(which == 1, found[1]).when(which == 2, found[2]).otherwise(found[3]).cast(SPANS)
+    cases = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.lit("mixed").alias("category"), F.lit("").alias("text"), gold.alias("entities"), predicted.alias("predicted"))
+    return scoring.judged(cases, "relaxed").select(F.col("id").cast("long").alias("o_orderkey"), "outcome", "span_text")
+
+
+_FOUND_TWO = f"SELECT o_orderkey, o_orderkey % 2 AS late, len(regexp_extract_all(text, '{_PAN}')) AS n_pan FROM (SELECT o_orderkey, {ORDER_TEXT} AS text FROM orders)"
+
+
+@query(
+    f"""
+SELECT *, 2 * "precision" * recall / nullif("precision" + recall, 0) AS f1 FROM (SELECT *, {_RATES} FROM (
+  SELECT 'strict' AS rule, 'EMAIL' AS entity_type, sum(1 - late)::BIGINT AS tp, sum(late)::BIGINT AS fp, sum(late)::BIGINT AS fn FROM ({_FOUND_TWO})
+  UNION ALL SELECT 'relaxed', 'EMAIL', count(*)::BIGINT, 0::BIGINT, 0::BIGINT FROM ({_FOUND_TWO})
+  UNION ALL SELECT 'strict', 'PAN', 0::BIGINT, sum(n_pan)::BIGINT, 0::BIGINT FROM ({_FOUND_TWO})
+  UNION ALL SELECT 'relaxed', 'PAN', 0::BIGINT, sum(n_pan)::BIGINT, 0::BIGINT FROM ({_FOUND_TWO})))
+"""
+)
+def evaluation_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From texts to scores: detected once, judged by both rules. Gold has the addresses, every other one a character late, and no account numbers."""
+    key = F.col("o_orderkey")
+    mail = F.concat(F.lit("u"), key, F.lit("@ex-"), key % 7, F.lit(".co.in"))
+    start = F.call_function("locate", mail, F.col("text")) - 1
+    gold = F.array(F.struct(F.lit("EMAIL").alias("type"), (start + key % 2).cast("int").alias("start"), (start + F.length(mail)).cast("int").alias("end"), mail.alias("text")))
+    cases = _orders(spark, sf_dir).select(key.cast("string").alias("id"), F.lit("mixed").alias("category"), "text", gold.alias("entities"))
+    return scoring.scores_by_rule(for_evaluation(cases, [EmailDetector(), PanDetector()]))
 
 
 @query(
@@ -344,6 +462,22 @@ def offset_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built.select("id", F.posexplode("entities").alias("ord", "e")).select("id", (F.col("ord") + 1).cast("int").alias("ord"), F.col("e.text").alias("span_text"), "e.start")
 
 
+@query(
+    """
+SELECT id, 'mixed' AS category, concat(n, ' ', n) AS text, i AS ord, n AS span_text, (CASE WHEN i = 1 THEN 0 ELSE length(n) + 1 END)::INT AS start
+FROM (SELECT lpad(concat(p_partkey, ''), greatest(4, length(concat(p_partkey, '')))::INT, '0') AS id, p_name AS n, unnest([1, 2]) AS i FROM part)
+"""
+)
+def gold_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A labelled set is built, written and read back."""
+    path = scratch(spark, "gold")
+    twice = F.array(*[F.struct(F.lit("PERSON").alias("type"), F.col("p_name").alias("text"))] * 2)
+    cases = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("position"), F.lit("mixed").alias("category"), F.concat("p_name", F.lit(" "), "p_name").alias("text"), twice.alias("entities"))
+    write_gold(labelled.build(cases), path)
+    rows = read_gold(spark, path).select("id", "category", "text", F.posexplode("entities").alias("ord", "e"))
+    return rows.select("id", "category", "text", (F.col("ord") + 1).cast("int").alias("ord"), F.col("e.text").alias("span_text"), "e.start")
+
+
 def _line_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = _line_spans(spark, sf_dir)
     gold = F.transform("spans", lambda s: F.struct(s["entity_type"].alias("type"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text")))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.schema import AUDIT, GOLD
@@ -26,3 +29,13 @@ def write_gold(cases: DataFrame, path: str) -> None:
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(GOLD).option("mode", "FAILFAST").json(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names, which all executors share; where it is unset, and all runs on one machine, in a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="palimpsest-")
+    return f"{shared.rstrip('/')}/palimpsest/{name}-{uuid.uuid4().hex}"

@@ -58,12 +58,44 @@ def test_breakdowns(spark):
     assert {r["entity_type"]: r["tp"] for r in scoring.per_type_and_overall(scoring.judged(frame, "strict")).collect()}[None] == 2
     assert [tuple(r)[:2] for r in out["failures"].collect()] == [("FN", "0"), ("FP", "1")]
     assert scoring.failures(scoring.judged(frame, "strict"), 1).count() == 1
-    report = reports.detection_report(out, scoring.evaluate(frame, "relaxed"), 2)
-    assert "| EMAIL | 1 | 0 | 0 | 1.000 | 1.000 | 1.000 |" in report and "| PAN | 0 | 1 | 0 | 0.000 | - | - |" in report and "**FN** [0/person_x] LOCATION" in report
+    both = scoring.evaluate_all(frame)
+    report = reports.detection_report(both, 2)
+    assert "| EMAIL | 1 | 0 | 0 | 1.000 | 1.000 | 1.000 |" in report and "| PAN | 0 | 1 | 0 | 0.000 | - | - |" in report
+    assert "| 0 | person_x | missed | LOCATION | `l` |" in report and "By the relaxed rule" in report
+    assert reports.failure_table(out["failures"], 1).count("|\n") == 2 and "No misses" in reports.failure_table(out["failures"].limit(0))
+    for rule in scoring.RULES:
+        alone = scoring.evaluate(frame, rule)
+        assert all(sorted(map(str, both[rule][k].collect())) == sorted(map(str, alone[k].collect())) for k in alone)
     with pytest.raises(ValueError):
         scoring.judged(frame, "loose")
 
 
+def test_failures_in_the_order_of_cases(spark, tmp_path):
+    rows = [(str(k), "mixed", f"t{k}", [("EMAIL", 0, 5, "e")], [p("PAN", 6, 9)], k) for k in (9, 10, 2)]
+    frame = spark.createDataFrame(rows, f"id string, category string, text string, entities {ENTITY}, predicted {SPANS.simpleString()}, position int")
+    for outcome_rows in (scoring.judged(frame, "strict"), scoring.judged_by(frame).where("rule = 'strict'")):
+        assert [(r["case_id"], r["kind"]) for r in scoring.failures(outcome_rows).collect()] == [(i, k) for i in ("2", "9", "10") for k in ("FN", "FP")]
+    every = scoring.failures(scoring.judged(frame, "strict"), ordered=False)
+    assert "Sort" not in every._jdf.queryExecution().executedPlan().toString()
+    reports.write_failures(every, str(tmp_path / "failures"))
+    assert spark.read.json(str(tmp_path / "failures")).count() == 6
+
+
+def test_detection_runs_once(spark):
+    """In the plans of both evaluations each detector's pattern stands once."""
+    from palimpsest.operators.detectors import PanDetector
+
+    gold = labelled.build(spark.createDataFrame([(0, "mixed", "ID QWEPR1234T", [("PAN", "QWEPR1234T")])], "position int, category string, text string, entities array<struct<type:string,text:string>>"))
+    plan = scoring.scores_by_rule(for_evaluation(gold, [PanDetector()]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    docs = spark.createDataFrame([(0, "Priya has QWEPR1234T")], "doc_idx int, text string")
+    table = retrieval.evaluate(docs, spark.createDataFrame([("Priya", 0)], "query string, correct_idx int"))
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    inside = [line for line in plan.splitlines() if "regexp_extract_all" in line and "ABCFGHJLPT" in line]
+    assert "InMemoryTableScan" in plan and len({line.strip(" +-:*()0123456789") for line in inside}) <= 1
+    assert table.where("variant = 'original'").first()["mrr"] == 1.0
+
+
 def built(spark):
     rows = [
         (0, "email", "Write to q@r.org or q@r.org.", [("EMAIL", "q@r.org"), ("EMAIL", "q@r.org")]),
@@ -88,6 +120,10 @@ def test_labelled_set(spark, tmp_path):
     missing = spark.createDataFrame([(0, "x", "abc", [("EMAIL", "zzz")])], "position int, category string, text string, entities array<struct<type:string,text:string>>")
     with pytest.raises(Exception, match="not found"):
         labelled.build(missing).collect()
+    same = spark.createDataFrame([(k, "x", "a b", []) for k in (3, 4, 3)], "position int, category string, text string, entities array<struct<type:string,text:string>>")
+    with pytest.raises(Exception, match="repeated id: 0003"):
+        labelled.build(same).collect()
+    assert [r["id"] for r in labelled.repeated_ids(labelled.build(same, unique=False)).collect()] == ["0003"]
     twice = again.withColumn("entities", F.expr("transform(entities, e -> named_struct('type', e.type, 'start', 0, 'end', 5, 'text', e.text))"))
     assert labelled.overlapping(twice).count() == 2
 
@@ -116,6 +152,17 @@ def test_retrieval(spark):
     assert "| original | 1.000 | 1.000 | 1.000 |" in reports.retrieval_report(retrieval.evaluate(docs, queries, single=2))
 
 
+def test_sentence_model(spark, tmp_path, monkeypatch):
+    """The adapter, with a package of the name that holds a small stand-in; workers import it as they would the real one."""
+    with pytest.raises(ImportError):
+        retrieval.sentence_model("any")
+    (tmp_path / "sentence_transformers.py").write_text("class SentenceTransformer:\n    def __init__(self, name):\n        self.name = name\n    def encode(self, texts):\n        return [[len(t), len(self.name)] for t in texts]\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "sentence_transformers.py"))
+    df = spark.createDataFrame([("abcd",), (None,)], "t string").select(retrieval.sentence_model("xyz")(F.col("t")).alias("e"))
+    assert [r["e"] for r in df.collect()] == [pytest.approx([0.8, 0.6]), pytest.approx([0.0, 1.0])]
+
+
 def test_ranks_break_ties_by_index_and_work_in_blocks(spark):
     vectors = spark.createDataFrame([(k, [1.0, float(k % 2)]) for k in range(6)], "doc_idx int, embedding array<double>")
     asked = spark.createDataFrame([(9, 2, [1.0, 0.0]), (8, 5, [1.0, 1.0]), (7, 99, [1.0, 1.0])], "query_id int, correct_idx int, embedding array<double>")

@@ -89,6 +89,25 @@ def test_model_detector(one):
         D.presidio()
 
 
+def test_model_engine(spark, one, tmp_path, monkeypatch):
+    """The adapter of the model engine, with a package of its name that holds a small stand-in: built once a worker, possessives trimmed, scores kept."""
+    (tmp_path / "presidio_analyzer.py").write_text(
+        "import re\n"
+        "class AnalyzerEngine:\n"
+        "    def analyze(self, text, language, entities):\n"
+        "        assert language == 'en' and entities == ['PERSON', 'LOCATION']\n"
+        "        kinds = {'Zed': 'PERSON', 'Oz': 'LOCATION'}\n"
+        "        return [type('R', (), {'entity_type': kinds[m[1]], 'start': m.start(), 'end': m.end(), 'score': 0.75})() for m in re.finditer(r\"(Zed|Oz)(?:'s)?\", text)]\n"
+    )
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "presidio_analyzer.py"))
+    found = one(D.presidio().spans, "Zed's friends in Oz")
+    assert [(s["entity_type"], s["start"], s["end"], s["text"], s["confidence"], s["detector"]) for s in found] == [("PERSON", 0, 3, "Zed", 0.75, "ner.presidio"), ("LOCATION", 17, 19, "Oz", 0.75, "ner.presidio")]
+    docs = spark.createDataFrame([("Zed met zed@q.org in Oz, Zed said",), (None,)], "text string")
+    out = redact_documents(docs, detectors=[D.EmailDetector(), D.presidio()]).collect()
+    assert [r["redacted"] for r in out] == ["PERSON_A met [EMAIL_REDACTED] in Oz, PERSON_A said", None]
+
+
 def run_spans(spark, f, spans, text=""):
     return spark.createDataFrame([(text, spans)], f"t string, s {SPANS.simpleString()}").select(f(F.col("t"), F.col("s")).alias("x")).first()["x"]
 
@@ -197,6 +216,46 @@ def test_demos(spark, valid):
     assert [r["matched"] for r in checks.orderBy("text").collect()] == [True, False]
 
 
+def test_demo_run(spark, valid, tmp_path):
+    from palimpsest.plans import demo
+
+    path = str(tmp_path / "log")
+    for _ in range(2):
+        out = demo.run(spark, f"Priya: {valid}, 223456789013, p@q.org", path)
+        assert out.found["regex.aadhaar"] == [valid] and out.found["regex.aadhaar.naive"] == [valid, "223456789013"] and out.naive_precision == 0.5
+        assert out.redacted == "PERSON_A: [AADHAAR_REDACTED], 223456789013, [EMAIL_REDACTED]"
+        assert [r["entity_type"] for r in out.logged] == ["PERSON", "AADHAAR", "EMAIL"] and {r["document_id"] for r in out.logged} == {"demo"}
+
+
+def test_few_files_are_spread_out(spark, tmp_path):
+    from palimpsest.plans.pipeline import spread_out
+
+    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "one"))
+    one_file = spark.read.parquet(str(tmp_path / "one"))
+    assert spread_out(one_file).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = spark.range(0, 100, 1, 50)
+    assert spread_out(many) is many
+
+
+def test_entry_without_optional_packages(monkeypatch):
+    """The library's own queries are there even if what the optional ones need isn't."""
+    import importlib
+
+    import __spark_entry__ as entry
+    import palimpsest.queries as own
+
+    real = importlib.import_module
+
+    def without(name, *rest):
+        if name.startswith("palimpsest.llm"):
+            raise ModuleNotFoundError("No module named 'xxhash'", name="xxhash")
+        return real(name, *rest)
+
+    monkeypatch.setattr(entry.importlib, "import_module", without)
+    with pytest.warns(UserWarning, match="xxhash"):
+        assert set(entry.queries()) == set(own.QUERIES) and set(entry.oracle_sql()) == set(own.ORACLES)
+
+
 def test_stream(spark, tmp_path):
     source, out = tmp_path / "in", tmp_path / "out"
     spark.createDataFrame([("d1", "x@y.org"), ("d2", "none")], "doc_id string, text string").write.json(str(source))
