@@ -49,36 +49,36 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, ceiling: int =
     return levelled.select("source", "source_size", F.least("most", F.col("level") * F.col("weight")).alias("target"))
 
 
-def _rated(docs: DataFrame, doc_id: str, text: str, source: str, weights: Sequence[float], ceiling: int, seed: str) -> DataFrame:
-    row = docs.select(F.struct("*").alias("__row"), word_count(F.col(text)).alias("__size"), F.col(source).alias("__source"), draw(F.col(doc_id), F.col(source), F.col(text), seed).alias("__draw"))
-    sizes = docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
-    goal = stage(targets(sizes, weights, ceiling), "targets").select(F.col("source").alias("__of"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
-    rated = row.join(goal, F.col("__source").eqNullSafe(F.col("__of")))
-    rate = F.when(F.col("__source_size") == 0, F.lit(0.0)).otherwise(F.col("__target") / F.greatest("__source_size", F.lit(1)))
-    whole = F.floor(rate)
-    return rated.withColumn("__copies", (whole + (F.col("__draw") < rate - whole).cast("long")).cast("long"))
+def _goals(sizes: DataFrame, weights: Sequence[float], ceiling: int) -> DataFrame:
+    """sizes(source, source_size) -> (__of, __source_size, __target, __rate), staged: one row a source."""
+    goal = stage(targets(sizes, weights, ceiling), "targets")
+    rate = F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(F.col("target") / F.greatest("source_size", F.lit(1)))
+    return goal.select(F.col("source").alias("__of"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), rate.alias("__rate"))
+
+
+def _copies(rate: Column, drawn: Column) -> Column:
+    return (F.floor(rate) + (drawn < rate - F.floor(rate)).cast("long")).cast("long")
 
 
 def allotment(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS, ceiling: int = CEILING, seed: str = SEED) -> DataFrame:
     """One row for each row of docs: (doc_id, size, source_size, target, copies, taken = size * copies).
 
-    size is the number of words, 0 for a null or empty text. A null source is a source. A source without words has target 0.
-    Repeated rows draw alike; an empty table gives no rows; other columns are ignored, whatever their names.
+    size is the number of words, 0 for a null or empty text; texts are read once, however long. A null source is a source, a null id an id. A source
+    without words has target 0. Repeated rows draw alike; an empty table gives no rows; other columns are ignored, whatever their names.
     """
-    rated = _rated(docs.select(doc_id, text, source), doc_id, text, source, weights, ceiling, seed)
-    return rated.select(
-        F.col("__row")[doc_id].alias("doc_id"),
-        F.col("__size").alias("size"),
-        F.col("__source_size").alias("source_size"),
-        F.col("__target").alias("target"),
-        F.col("__copies").alias("copies"),
-        (F.col("__size") * F.col("__copies")).alias("taken"),
-    )
+    drawn = draw(F.col(doc_id), F.col(source), F.col(text), seed)
+    rows = stage(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), drawn.alias("drawn")), "sizes")
+    goal = _goals(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, ceiling)
+    rated = rows.join(goal, F.col("source").eqNullSafe(F.col("__of"))).withColumn("copies", _copies(F.col("__rate"), F.col("drawn")))
+    return rated.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS, ceiling: int = CEILING, seed: str = SEED) -> DataFrame:
-    """The rows of docs, all columns kept, each as many times as the mix takes it: no row for documents that it leaves out."""
-    rated = _rated(docs, doc_id, text, source, weights, ceiling, seed)
+    """The rows of docs, all columns kept, each as many times as the mix takes it: no row for documents that it leaves out. Nulls, repeats and empty tables as in `allotment`."""
+    goal = _goals(docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size")), weights, ceiling)
+    drawn = draw(F.col(doc_id), F.col(source), F.col(text), seed)
+    rows = docs.select(F.struct("*").alias("__row"), F.col(source).alias("__source"), drawn.alias("__draw"))
+    rated = rows.join(goal, F.col("__source").eqNullSafe(F.col("__of"))).withColumn("__copies", _copies(F.col("__rate"), F.col("__draw")))
     copied = rated.where("__copies > 0").select("__row", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy"))
     return copied.select("__row.*")
 

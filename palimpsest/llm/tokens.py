@@ -115,8 +115,8 @@ def sentencepiece_pieces(path: str) -> list[str]:
 def token_counts(docs: DataFrame, pieces: Iterable[str], doc_id: str = "doc_id", text: str = "text", mark: str = MARK) -> DataFrame:
     """One row for each row of docs: (doc_id, n_words, n_tokens) by greedy longest match of `mark` + word over the pieces.
 
-    Words are runs of anything but ASCII white space. Null and empty texts have no words. Repeated rows count alike; an empty table gives
-    no rows; other columns are ignored. An empty vocabulary counts UTF-8 bytes.
+    Words are runs of anything but ASCII white space. Null and empty texts have no words; of very long texts and words every character counts. A null id is
+    kept. Repeated rows count alike; an empty table gives no rows; other columns are ignored. An empty vocabulary counts UTF-8 bytes.
     """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Automaton(pieces, mark))

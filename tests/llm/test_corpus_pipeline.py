@@ -57,3 +57,42 @@ def test_stages_keep_columns(spark):
         out = step(spark, docs, FOLDER)
         assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
     assert simhash.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_odd_tables(spark, tmp_path, words):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, columns whose names clash: the chain runs, and each case ends as the docstrings say."""
+    text = {k: " ".join(["the house and the garden of the man were in the north"] + words(60, k)) for k in range(12)}
+    rows = [(k, text[k], "en" if k % 2 else None, f"s{k % 2}" if k % 3 else None, None, 1, "x", None, 9) for k in text]
+    rows += [(20, None, None, None, None, 1, "x", None, 9), (21, "", "en", "s0", 0, None, None, None, None), (22, "12 34", "de", "s1", 5, 1, "x", None, 9)]
+    rows += [(None, text[3] + " more", "en", "s0", None, 1, "x", None, 9), rows[4], (30, text[5], "en", "s1", None, 1, "x", None, 9)]
+    rows += [(31, " ".join(words(20_000, 99)) + " the house", "en", "s1", None, 1, "x", None, 9), (32, " ".join(words(40, 70)) + " leaked " + " ".join(words(30, 71)), "en", "s0", None, 1, "x", None, 9)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key int, language string, `of` int, c0 int").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, " ".join(words(30, 71))), (None, None), (2, ""), (3, "too short")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
+    kept = [r["doc_id"] for r in out.collect()]
+    assert not {20, 21, 22, 30, 32} & set(kept) and len(kept) > 5  # no letters, a copy, a leak
+    assert all(r["n_chars"] == len(r["text"]) for r in out.collect())
+
+
+def test_empty_tables(spark, tmp_path):
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{FOLDER}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_staged_tables_go(spark, tmp_path):
+    """What no plan reads any more is deleted: of a run the last table stays, and what the stages' last plans read."""
+    from palimpsest.llm.common import shared_dir
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(60)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{FOLDER}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    from pathlib import Path
+
+    folder = Path(shared_dir(spark).removeprefix("file:")) / "palimpsest"
+    before = set(folder.iterdir()) if folder.exists() else set()
+    corpus_pipeline.run(spark, str(tmp_path))
+    left = sorted(p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before)
+    assert not {"crowded", "nodes", "links", "roots", "rooted", "edges", "least", "large", "told", "candidates", "hits", "measured", "leaders", "items", "near_duplicates", "language_id"} & set(left), left
