@@ -34,8 +34,8 @@ MAX_BITS = 3
 BLOCK, PROBE_BLOCK = 4096, 65_536
 #: So many hot keys may travel with the task; beyond that they're joined.
 HOT_KEYS = 50_000
-#: Pairs compared at once.
-AT_ONCE = 1 << 20
+#: Pairs compared at once, and linked nodes that a task remembers.
+AT_ONCE, MOST_JOINED = 1 << 20, 1 << 21
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -220,6 +220,33 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
+class _Joined:
+    """What a task's links have joined: nodes ascending, and a node of their component each. Forgets all when it has grown too large."""
+
+    def __init__(self) -> None:
+        self.nodes = self.roots = np.empty(0, np.int64)
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        if not len(self.nodes):
+            return x
+        at = np.minimum(np.searchsorted(self.nodes, x), len(self.nodes) - 1)
+        return np.where(self.nodes[at] == x, self.roots[at], x)
+
+    def new(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Links that join what x and y join and earlier ones haven't."""
+        a, b = self.of(x), self.of(y)
+        a, b = forest(a[a != b], b[a != b])
+        nodes = np.union1d(self.nodes, np.concatenate([x, y]))
+        roots = self.of(nodes)
+        if len(a):
+            at = np.minimum(np.searchsorted(a, roots), len(a) - 1)
+            roots = np.where(a[at] == roots, b[at], roots)
+        if len(nodes) > MOST_JOINED:
+            nodes = roots = np.empty(0, np.int64)
+        self.nodes, self.roots = nodes, roots
+        return a, b
+
+
 def _distance(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     out = np.bitwise_count((x[0] ^ y[0]).view(np.uint64)).astype(np.int16)
     for a, b in zip(x[1:], y[1:], strict=True):
@@ -232,7 +259,7 @@ def _linked(limit: int, words: int, named: Callable[[list[np.ndarray]], np.ndarr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing = [np.empty(0, np.int64)] * words
-        last, held = None, nothing
+        last, held, joined = None, nothing, _Joined()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -266,7 +293,7 @@ def _linked(limit: int, words: int, named: Callable[[list[np.ndarray]], np.ndarr
                     tos.append(y)
                 at = to
             if froms:
-                x, y = forest(np.concatenate(froms), np.concatenate(tos))
+                x, y = joined.new(np.concatenate(froms), np.concatenate(tos))
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
             last = (key[-1], block[-1])
             held = [p[start[group[-1]] :] if many[group[-1]] else p[:0] for p in pool]
@@ -299,7 +326,7 @@ def met(nodes: DataFrame, keys: Keys, words: int, block: int = BLOCK, probe_bloc
 def linked(rows: DataFrame, limit: int, words: int, named: Callable[[list[np.ndarray]], np.ndarray]) -> DataFrame:
     """What `met` gives -> (a, b): links that join the same nodes as all pairs that share a key and differ in at most `limit` bits do.
 
-    Each task returns the links of a batch as stars, so that a group of n like nodes gives rows in proportion to n, not n squared.
+    Each task returns the links that join what it hasn't joined before, so that a group of n like nodes gives rows in proportion to n, not n squared.
     """
     return rows.repartition("key", "block").sortWithinPartitions("key", "block", "role").mapInArrow(_linked(limit, words, named), "a long, b long")
 
@@ -311,6 +338,12 @@ def links(prints: DataFrame, limit: int = MAX_BITS, block: int = BLOCK, hot_keys
     return linked(met(prints, _plain_keys, 1, block, probe_block, hot_keys), limit, 1, lambda w: w[0])
 
 
+def compared(rows: DataFrame) -> DataFrame:
+    """Of what `met` gives, one row (groups, index_rows, probes, pairs): how much the keys ask to be compared."""
+    each = rows.groupBy("key", "block").agg(F.count_if(F.col("role") == 0).alias("i"), F.count_if(F.col("role") == 1).alias("p"))
+    return each.agg(F.count("*").alias("groups"), F.sum("i").alias("index_rows"), F.sum("p").alias("probes"), F.sum(F.col("i") * F.col("p")).alias("pairs"))
+
+
 def components(first: DataFrame, found: DataFrame, node: str) -> DataFrame:
     """first(node, first id) and links -> (node, component_id), staged: the smallest id that links reach from each node."""
     roots = connected(found)
