@@ -112,7 +112,8 @@ def _frames(rows: DataFrame) -> dict[str, DataFrame]:
 
 
 def evaluate(cases: DataFrame, rule: str) -> dict[str, DataFrame]:
-    """The frames of one evaluation: per_type, overall, person_by_category, failures. Outcomes are computed once and kept for all of them."""
+    """The frames of one evaluation: per_type, overall, person_by_category, failures. Outcomes are computed once and kept on disk for all
+    of them, until the session's cache is cleared."""
     return _frames(judged(cases, rule).persist(StorageLevel.DISK_ONLY))
 
 

@@ -142,6 +142,34 @@ def test_own_gold_scores_fully(spark):
         for_evaluation(gold.withColumn("text", F.concat(F.lit(" "), "text"))).collect()
 
 
+def test_labelled_set_of_our_own(spark, tmp_path):
+    """All categories, scored and reported: formats fully, names and places as far as the lists go, and nothing where there is nothing."""
+    from labelled_cases import rows
+
+    from palimpsest.functions.checksum import corrupted, with_check_digit
+    from palimpsest.plans.evaluation import evaluate_detection
+
+    base = spark.range(20).select(F.concat(F.lit("31415"), F.lpad((F.col("id") * 7919 + 100).cast("string"), 6, "0")).alias("b")).select(with_check_digit(F.col("b")).alias("good"))
+    numbers = base.select("good", corrupted(F.col("good")).alias("bad")).collect()
+    cases = [(k, *r) for k, r in enumerate(rows([n["good"] for n in numbers], [n["bad"] for n in numbers]))]
+    gold = labelled.build(spark.createDataFrame(cases, "position int, category string, text string, entities array<struct<type:string,text:string>>"))
+    write_gold(gold, str(tmp_path / "gold"))
+    gold = read_gold(spark, str(tmp_path / "gold"))
+    counts = {r["name"]: r["n"] for r in labelled.summary(gold).collect()}
+    assert len({c for _, c, _, _ in cases}) == 15 and sum(n for k, n in counts.items() if k.islower()) == len(cases) == 134 and labelled.overlapping(gold).count() == 0
+    missed = labelled.without_hit(gold).collect()
+    assert missed and {r["type"] for r in missed} == {"PERSON"}  # names that the lists don't hold
+    frames = evaluate_detection(gold, str(tmp_path / "report.md"), str(tmp_path / "failures"))
+    strict = {r["entity_type"]: r for r in frames["strict"]["per_type"].collect()}
+    assert all(strict[k]["precision"] == strict[k]["recall"] == 1 for k in ("EMAIL", "PHONE", "PAN", "AADHAAR", "LOCATION"))
+    assert 0.7 < strict["PERSON"]["recall"] < 1 and strict["PERSON"]["precision"] == 1
+    by = {r["category"]: r["recall"] for r in frames["strict"]["person_by_category"].collect()}
+    assert by["person_north_indian"] == 1 and by["person_common_word_name"] < 1
+    report = (tmp_path / "report.md").read_text()
+    assert "134 cases" in report and "| AADHAAR |" in report and "person_sikh" in report
+    assert spark.read.json(str(tmp_path / "failures")).count() == strict["PERSON"]["fn"]
+
+
 def test_retrieval(spark):
     docs = spark.createDataFrame([(0, "Priya Menon likes red tea"), (1, "Rahul Rao builds boats"), (2, "Priya Menon and Rahul Rao sail")], "doc_idx int, text string")
     queries = spark.createDataFrame([("red tea", 0), ("builds boats", 1), ("sail together", 2)], "query string, correct_idx int")
